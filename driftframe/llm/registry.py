@@ -8,6 +8,8 @@ import importlib
 QUERIES = {
     "op1_simhash": ("simhash", None),
     "op4_substrings": ("substrings", "OP4_SQL"),
+    "op5_toxicity": ("toxicity", None),
+    "op7_mixing": ("mixing", None),
 }
 
 
