@@ -7,6 +7,7 @@ import importlib
 #: Query, its module, its SQL there if DuckDB can express it.
 QUERIES = {
     "op1_simhash": ("simhash", None),
+    "op2_pieces": ("pieces", None),
     "op4_substrings": ("substrings", "OP4_SQL"),
     "op5_toxicity": ("toxicity", None),
     "op7_mixing": ("mixing", None),
