@@ -198,34 +198,38 @@ def _removal(words: list, blobs: list[bytes] | None) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
-    """docs (doc_id, text) with the columns did, th and blobs: spans of words that a window of length words,
-    whose words also start earlier, covers.
+def repeated_spans(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns keep of docs (doc_id, text, ...) with __did (the doc_id, the largest long for null), __text and __blobs:
+    spans of words that a window of length words, whose words also start earlier, covers.
 
     Earlier: in a document of smaller doc_id (null last; equal doc_ids by the text's hash) or further up
     in the same document; rows equal in doc_id and text count as one document. length is at least 2.
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     # only where a doc_id is null or repeated does the text's hash tell documents apart
-    clash = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
-    th = F.lit(0).cast("long") if clash else F.xxhash64("text")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("did"), th.alias("th"), F.col("text").cast("string").alias("text"), F.col("doc_id"))
-    anchors_ = keyed.select("did", "th", "text").mapInArrow(_first_level(length, n), "target int, blob binary")
-    found = anchors_.repartition(n, "target").mapInArrow(_repeated, "did long, th long, blob binary")
-    found = found.groupBy("did", "th").agg(F.collect_list("blob").alias("blobs"))
-    windows = keyed.join(found, ["did", "th"], "left").select("did", "th", "text", "blobs").mapInArrow(_second_level(length, n), "target int, blob binary")
+    clash = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+    th = F.coalesce(F.xxhash64("text"), F.lit(0)) if clash else F.lit(0).cast("long")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("__did"), th.alias("__th"), F.col("text").cast("string").alias("__text"), *keep)
+    seen = keyed.select("__did", "__th", "__text").mapInArrow(_first_level(length, n), "target int, blob binary")
+    found = seen.repartition(n, "target").mapInArrow(_repeated, "did long, th long, blob binary")
+    found = found.groupBy(F.col("did").alias("__did"), F.col("th").alias("__th")).agg(F.collect_list("blob").alias("__blobs"))
+    # the columns kept go along, so that both joins on (__did, __th) read one exchange of the texts
+    windows = keyed.join(found, ["__did", "__th"], "left").select("__did", "__th", "__text", "__blobs", *keep).mapInArrow(_second_level(length, n), "target int, blob binary")
     spans = windows.repartition(n, "target").mapInArrow(_verdicts(length), "did long, th long, blob binary")
-    spans = spans.groupBy("did", "th").agg(F.collect_list("blob").alias("blobs"))
-    return keyed.join(spans, ["did", "th"], "left")
+    spans = spans.groupBy(F.col("did").alias("__did"), F.col("th").alias("__th")).agg(F.collect_list("blob").alias("__blobs"))
+    return keyed.join(spans, ["__did", "__th"], "left")
 
 
-def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_removed, text) for each row of docs (doc_id, text, ...): the text without repeated words.
+def remove_repeats(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(__did, __text, __n_words, __n_removed, __kept) and the columns keep, for each row of docs (doc_id, text, ...).
 
-    Words are divided by ASCII white space and kept ones joined by one space. A text of
-    fewer than length words, an empty or a null one loses nothing; null becomes empty.
-    Rows repeat as in the input; other columns are not looked at.
+    __kept is the text without repeated words. Words are divided by ASCII white space and kept ones joined
+    by one space. A text of fewer than length words, an empty or a null one loses nothing; null
+    becomes empty. Rows repeat as in the input; other columns are not looked at.
     """
+    rows = repeated_spans(docs, length, keep).select("__did", "__text", "__blobs", *keep)
+    schema = rows.drop("__blobs").schema.add("__n_words", "long").add("__n_removed", "long").add("__kept", "string")
+    others = [f.name for f in rows.drop("__blobs").schema]
 
     def run(batches):
         for b in batches:
@@ -236,14 +240,25 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 texts.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if n_removed[-1] else words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
+            own = [b.column(0), b.column(1), *(b.column(i) for i in range(3, b.num_columns))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], [*others, "__n_words", "__n_removed", "__kept"])
 
-    return repeated_spans(docs, length).select(F.col("doc_id").cast("long"), "text", "blobs").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    return rows.mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
+    """docs, all columns, with repeated words gone from the text; a text that loses none stays as it is, and n_chars follows the text."""
+    keep = tuple(c for c in docs.columns if c != "text")
+    rows = remove_repeats(docs, length, keep)
+    text = F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col("__text"))
+    changed = {"text": text.alias("text")} | ({"n_chars": F.when(F.col("__n_removed") > 0, F.char_length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")} if "n_chars" in keep else {})
+    return rows.select(*(changed.get(c, F.col(c)) for c in docs.columns))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeats(read(tuned(spark), sf_dir, "documents"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    found = remove_repeats(read(tuned(spark), sf_dir, "documents"))
+    doc_id = F.when(F.col("__did") != _NULL_ID, F.col("__did"))
+    return found.select(doc_id.alias("doc_id"), F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""
