@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "op1_simhash": ("simhash", None),
     "op2_pieces": ("pieces", None),
+    "op3_exact_topk": ("pivots", "OP3_SQL"),
     "op4_substrings": ("substrings", "OP4_SQL"),
     "op5_toxicity": ("toxicity", None),
     "op7_mixing": ("mixing", None),
