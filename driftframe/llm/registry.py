@@ -11,7 +11,10 @@ QUERIES = {
     "op3_exact_topk": ("pivots", "OP3_SQL"),
     "op4_substrings": ("substrings", "OP4_SQL"),
     "op5_toxicity": ("toxicity", None),
+    "op6_urls": ("urls", "OP6_SQL"),
     "op7_mixing": ("mixing", None),
+    "op9_neighbours": ("collisions", None),
+    "op10_hilbert_shards": ("sharding", None),
 }
 
 
