@@ -13,6 +13,7 @@ QUERIES = {
     "op5_toxicity": ("toxicity", None),
     "op6_urls": ("urls", "OP6_SQL"),
     "op7_mixing": ("mixing", None),
+    "op8_warc": ("warc", "OP8_SQL"),
     "op9_neighbours": ("collisions", None),
     "op10_hilbert_shards": ("sharding", None),
 }
