@@ -28,6 +28,8 @@ _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 _SEEN = np.dtype([("h", "<u8"), ("did", "<i8"), ("th", "<i8"), ("many", "<i4")])
 _WINDOW = np.dtype([("h", "<u8"), ("did", "<i8"), ("th", "<i8"), ("at", "<i4")])
+_HASH_OF = np.dtype([("did", "<i8"), ("th", "<i8"), ("h", "<u8")])
+_SPAN_OF = np.dtype([("did", "<i8"), ("th", "<i8"), ("begin", "<i4"), ("end", "<i4")])
 _NULL_ID = (1 << 63) - 1
 
 
@@ -58,14 +60,6 @@ def anchors(half: np.ndarray, span: int) -> np.ndarray:
     return np.arange(len(half) - span + 1) + np.lib.stride_tricks.sliding_window_view(half, span).argmin(axis=1)
 
 
-def covered(starts: np.ndarray, length: int) -> np.ndarray:
-    """Sorted starts of windows as merged spans [begin, end), two columns of int32."""
-    if not len(starts):
-        return np.zeros((0, 2), "<i4")
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    return np.stack([starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])] + length], axis=1).astype("<i4")
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
     """Rows of texts in blocks of about BLOCK_WORDS words; a longer text is a block of its own."""
     block, n = [], 0
@@ -115,25 +109,47 @@ def _first_level(length: int, targets: int):
     return run
 
 
-def _by_document(rows: np.ndarray, values: np.ndarray, pack) -> pa.RecordBatch:
-    order = np.lexsort((values, rows["th"], rows["did"]))
-    rows, values = rows[order], values[order]
-    cuts = np.flatnonzero((np.diff(rows["did"]) != 0) | (np.diff(rows["th"]) != 0)) + 1
-    starts = np.concatenate([[0], cuts]) if len(rows) else []
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows["did"][starts] if len(rows) else [], pa.int64()), pa.array(rows["th"][starts] if len(rows) else [], pa.int64()), pa.array([pack(v) for v in np.split(values, cuts)] if len(rows) else [], pa.binary())], ["did", "th", "blob"]
-    )
+def _to_documents(rows: np.ndarray, targets: int) -> pa.RecordBatch | None:
+    return dealt((mix64(rows["did"].view(np.uint64)) % np.uint64(targets)).astype(np.int64), rows)
+
+
+def _by_document(dtype: np.dtype):
+    """One row for each document of packed records: its records without did and th."""
+    values = [n for n in dtype.names if n not in ("did", "th")]
+    packed = np.dtype([(n, dtype[n]) for n in values])
 
+    def run(batches):
+        rows = gathered(batches, dtype)
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((rows["th"], rows["did"]))]
+        cuts = np.flatnonzero((np.diff(rows["did"]) != 0) | (np.diff(rows["th"]) != 0)) + 1
+        starts, own = np.concatenate([[0], cuts]), np.empty(len(rows), packed)
+        for n in values:
+            own[n] = rows[n]
+        blobs = pa.array([x.tobytes() for x in np.split(own, cuts)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(rows["did"][starts].copy()), pa.array(rows["th"][starts].copy()), blobs], ["__did", "__th", "__blob"])
+
+    return run
 
-def _repeated(batches):
-    """Hashes of the first level that occur more than once, for each document that has them."""
-    seen = gathered(batches, _SEEN)
-    seen = seen[np.argsort(seen["h"], kind="stable")]
-    if not len(seen):
-        return
-    run_of = np.cumsum(np.concatenate([[True], np.diff(seen["h"]) != 0])) - 1
-    found = seen[(np.bincount(run_of)[run_of] > 1) | (seen["many"] == 1)]
-    yield _by_document(found, found["h"].copy(), lambda v: v.tobytes())
+
+def _repeated(targets: int):
+    """Hashes of the first level that occur more than once, with the documents that have them."""
+
+    def run(batches):
+        seen = gathered(batches, _SEEN)
+        if not len(seen):
+            return
+        seen = seen[np.argsort(seen["h"], kind="stable")]
+        run_of = np.cumsum(np.concatenate([[True], np.diff(seen["h"]) != 0])) - 1
+        seen = seen[(np.bincount(run_of)[run_of] > 1) | (seen["many"] == 1)]
+        found = np.empty(len(seen), _HASH_OF)
+        for n in _HASH_OF.names:
+            found[n] = seen[n]
+        if out := _to_documents(found, targets):
+            yield out
+
+    return run
 
 
 def _later(rows: np.ndarray) -> np.ndarray:
@@ -147,13 +163,13 @@ def _second_level(length: int, targets: int):
     def run(batches):
         for block in _blocks(batches, 4):
             parts = []
-            for did, th, text, blobs in block:
-                if not blobs:
+            for did, th, text, blob in block:
+                if not blob:
                     continue
                 words = _word_hashes(text)
                 h = window_hashes(words, half)
                 at = anchors(h, span)
-                wanted = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in blobs]))
+                wanted = np.unique(np.frombuffer(blob, "<u8"))
                 starts = np.flatnonzero(np.isin(h, wanted)[at])
                 rows = np.zeros(len(starts), _WINDOW)
                 rows["h"], rows["did"], rows["th"], rows["at"] = window_hashes(words, length)[starts], did, th, starts
@@ -176,22 +192,32 @@ def _second_level(length: int, targets: int):
     return run
 
 
-def _verdicts(length: int):
+def _verdicts(length: int, targets: int):
+    """Spans of words that go, windows of one document that touch being one span."""
+
     def run(batches):
         rows = gathered(batches, _WINDOW)
         known = rows["h"] == 0
         rest = rows[~known]
         rest = rest[np.lexsort((rest["at"], rest["th"], rest["did"], rest["h"]))]
-        removed = np.concatenate([rows[known], rest[_later(rest)]])
-        yield _by_document(removed, removed["at"].astype("<i4"), lambda v: covered(np.unique(v), length).tobytes())
+        gone = np.concatenate([rows[known], rest[_later(rest)]])
+        if not len(gone):
+            return
+        gone = gone[np.lexsort((gone["at"], gone["th"], gone["did"]))]
+        cut = np.flatnonzero((np.diff(gone["did"]) != 0) | (np.diff(gone["th"]) != 0) | (np.diff(gone["at"]) > length)) + 1
+        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(gone)]]) - 1
+        spans = np.empty(len(first), _SPAN_OF)
+        spans["did"], spans["th"], spans["begin"], spans["end"] = gone["did"][first], gone["th"][first], gone["at"][first], gone["at"][last] + length
+        if out := _to_documents(spans, targets):
+            yield out
 
     return run
 
 
-def _removal(words: list, blobs: list[bytes] | None) -> np.ndarray:
+def _removal(words: list, blob: bytes | None) -> np.ndarray:
     """Which words go."""
     change = np.zeros(len(words) + 1, np.int32)
-    for blob in blobs or ():
+    if blob:
         spans = np.frombuffer(blob, "<i4").reshape(-1, 2)
         np.add.at(change, spans[:, 0], 1)
         np.add.at(change, spans[:, 1], -1)
@@ -199,7 +225,7 @@ def _removal(words: list, blobs: list[bytes] | None) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns keep of docs (doc_id, text, ...) with __did (the doc_id, the largest long for null), __text and __blobs:
+    """The columns keep of docs (doc_id, text, ...) with __did (the doc_id, the largest long for null), __text and __blob:
     spans of words that a window of length words, whose words also start earlier, covers.
 
     Earlier: in a document of smaller doc_id (null last; equal doc_ids by the text's hash) or further up
@@ -211,12 +237,11 @@ def repeated_spans(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()
     th = F.coalesce(F.xxhash64("text"), F.lit(0)) if clash else F.lit(0).cast("long")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("__did"), th.alias("__th"), F.col("text").cast("string").alias("__text"), *keep)
     seen = keyed.select("__did", "__th", "__text").mapInArrow(_first_level(length, n), "target int, blob binary")
-    found = seen.repartition(n, "target").mapInArrow(_repeated, "did long, th long, blob binary")
-    found = found.groupBy(F.col("did").alias("__did"), F.col("th").alias("__th")).agg(F.collect_list("blob").alias("__blobs"))
+    packed, per_document = "target int, blob binary", "__did long, __th long, __blob binary"
+    found = seen.repartition(n, "target").mapInArrow(_repeated(n), packed).repartition(n, "target").mapInArrow(_by_document(_HASH_OF), per_document)
     # the columns kept go along, so that both joins on (__did, __th) read one exchange of the texts
-    windows = keyed.join(found, ["__did", "__th"], "left").select("__did", "__th", "__text", "__blobs", *keep).mapInArrow(_second_level(length, n), "target int, blob binary")
-    spans = windows.repartition(n, "target").mapInArrow(_verdicts(length), "did long, th long, blob binary")
-    spans = spans.groupBy(F.col("did").alias("__did"), F.col("th").alias("__th")).agg(F.collect_list("blob").alias("__blobs"))
+    windows = keyed.join(found, ["__did", "__th"], "left").select("__did", "__th", "__text", "__blob", *keep).mapInArrow(_second_level(length, n), "target int, blob binary")
+    spans = windows.repartition(n, "target").mapInArrow(_verdicts(length, n), packed).repartition(n, "target").mapInArrow(_by_document(_SPAN_OF), per_document)
     return keyed.join(spans, ["__did", "__th"], "left")
 
 
@@ -227,16 +252,16 @@ def remove_repeats(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()
     by one space. A text of fewer than length words, an empty or a null one loses nothing; null
     becomes empty. Rows repeat as in the input; other columns are not looked at.
     """
-    rows = repeated_spans(docs, length, keep).select("__did", "__text", "__blobs", *keep)
-    schema = rows.drop("__blobs").schema.add("__n_words", "long").add("__n_removed", "long").add("__kept", "string")
-    others = [f.name for f in rows.drop("__blobs").schema]
+    rows = repeated_spans(docs, length, keep).select("__did", "__text", "__blob", *keep)
+    schema = rows.drop("__blob").schema.add("__n_words", "long").add("__n_removed", "long").add("__kept", "string")
+    others = [f.name for f in rows.drop("__blob").schema]
 
     def run(batches):
         for b in batches:
             n_words, n_removed, texts = [], [], []
-            for text, blobs in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for text, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = split_words(text)
-                gone = _removal(words, blobs)
+                gone = _removal(words, blob)
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 texts.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if n_removed[-1] else words))
