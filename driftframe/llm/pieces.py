@@ -27,9 +27,9 @@ from driftframe.llm.shared import mix64, read, tuned
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, TEMPERATURE = 42, 0.5
 #: Longer chunks are filtered one by one; so many words of a batch go through the lattice at once.
-LONG, BATCH_CHUNKS = 48, 400_000
+LONG, BATCH_CHUNKS = 48, 200_000
 #: Lattices of so many characters are kept for later batches, then begun anew; results are the same.
-KEPT_CHARS = 2_000_000
+KEPT_CHARS, LATTICE_CHARS = 2_000_000, 300_000
 _SPACE, _LITERAL = "▁", "\udc00"  # a text's own U+2581 is no space: it takes its bytes
 _P1, _P2 = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,7 +70,9 @@ class Pieces:
             self.tables.append((shift, table))
         assert not len(rest)
         self.number: dict[str, int] = {}
-        self.kept = None
+        self.nodes = self.ways = 0
+        self.last, self.first = np.zeros(KEPT_CHARS // 8, np.int32), np.zeros(KEPT_CHARS, np.int32)
+        self.chance, self.piece, self.origin = np.zeros(3 * KEPT_CHARS, np.float32), np.zeros(3 * KEPT_CHARS, np.int32), np.zeros(3 * KEPT_CHARS, np.int32)
         self.weights = np.zeros(n)
         self.weights[list(self.weight)] = list(self.weight.values())
 
@@ -152,24 +154,29 @@ class Pieces:
         chance[first[1:] - 1] = 2.0  # the last way in takes what is left
         return [base[lengths - 1] + np.arange(len(chunks)), first[:-1], chance, piece, origin]
 
-    def _keep(self, chunks: list[str]) -> list[np.ndarray]:
-        """The lattices of all chunks that self.number numbers, those of chunks, not yet among them, included."""
-        new = [c for c in dict.fromkeys(chunks) if c not in self.number and len(c) <= LONG]
-        if self.kept and len(self.kept[1]) + sum(map(len, new)) > KEPT_CHARS:
-            self.number, self.kept = {}, None
-            new = [c for c in dict.fromkeys(chunks) if len(c) <= LONG]
-        if new:
-            new.sort(key=len, reverse=True)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            more = self.lattice(new)
-            if self.kept:
-                nodes, ways = len(self.kept[1]), len(self.kept[2])
-                more[0] += nodes
-                more[1] += ways
-                more[4][more[4] >= 0] += nodes
-                more = [np.concatenate(x) for x in zip(self.kept, more)]
-            self.kept = more
-        return self.kept or [np.zeros(0, np.int64)] * 5
+    def _keep(self, every: list[str]) -> None:
+        """Numbers the chunks not yet known and keeps their lattices, in arrays of a fixed size."""
+        new = [c for c in dict.fromkeys(every) if c not in self.number and len(c) <= LONG]
+        if not new:
+            return
+        if self.nodes + sum(map(len, new)) > len(self.first):
+            self.number.clear()
+            self.nodes = self.ways = 0
+            new = [c for c in dict.fromkeys(every) if len(c) <= LONG]
+        new.sort(key=len, reverse=True)
+        begin = 0
+        while begin < len(new):
+            end = min(len(new), begin + max(1, LATTICE_CHARS // len(new[begin])))
+            part = new[begin:end]
+            n, last, first, chance, piece, origin = len(self.number), *self.lattice(part)
+            self.number.update(zip(part, range(n, n + len(part))))
+            for name, values, at in (("last", last + self.nodes, n), ("first", first + self.ways, self.nodes), ("chance", chance, self.ways), ("piece", piece, self.ways), ("origin", np.where(origin >= 0, origin + self.nodes, -1), self.ways)):
+                kept = getattr(self, name)
+                if at + len(values) > len(kept):
+                    kept = np.concatenate([kept, np.zeros(max(len(kept) // 4, at + len(values) - len(kept)), kept.dtype)])
+                    setattr(self, name, kept)
+                kept[at : at + len(values)] = values
+            self.nodes, self.ways, begin = self.nodes + len(first), self.ways + len(chance), end
 
     def _long(self, chunk: str, key: int) -> list[int]:
         """A long chunk by itself, scaled at every position so that no sum runs out of range."""
@@ -213,7 +220,8 @@ class Pieces:
     def _encode(self, texts: list[list[str]], keys: np.ndarray) -> list[np.ndarray]:
         counts = np.array([len(t) for t in texts])
         every = [c for t in texts for c in t]
-        last, first_way, chance, piece, origin = self._keep(every)
+        self._keep(every)
+        last, first_way, chance, piece, origin = self.last, self.first, self.chance, self.piece, self.origin
         get = self.number.get
         flat = np.array([get(c, -1) for c in every], np.int64)
         row = np.repeat(np.arange(len(texts)), counts)
