@@ -18,7 +18,7 @@ from driftframe.llm.vectors import batch_arrays, best, ranked, usable
 
 #: Projections; share of them in which a candidate collides; share of a block that is verified at least;
 #: growth of the windows; vectors of a block; queries that meet a block at once.
-PROJECTIONS, THRESHOLD, VERIFIED, GROWTH, BLOCK, ASKED = 96, 0.5, 0.25, 1.1, 8192, 8192
+PROJECTIONS, THRESHOLD, VERIFIED, GROWTH, BLOCK, ASKED = 64, 0.5, 0.25, 1.1, 16384, 8192
 SEED = 42
 
 
@@ -42,26 +42,29 @@ class Block:
         n = len(ids)
         self.start = float(np.mean(self.sorted[:, (3 * n) // 4] - self.sorted[:, n // 4]) / 2) or 1e-9
 
-    def search(self, one: int, q: np.ndarray, k: int) -> np.ndarray:
-        """Places of the k best of the vectors verified for query q, those of id one left out."""
-        n, at = len(self.ids), np.append(q, 0.0) @ self.directions
+    def search(self, ones: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query, places of the k best of the vectors verified for it, those of its own id left out."""
+        n, m = len(self.ids), len(self.order)
+        at = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1) @ self.directions
+        enough, least = min(n, int(VERIFIED * n) + k + 1), THRESHOLD * m
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         lo = hi = None
-        counts, wide = np.zeros(n, np.int64), self.start
-        enough, least = min(n, int(VERIFIED * n) + k + 1), THRESHOLD * len(self.order)
-        while True:
-            new_lo = [int(s.searchsorted(a - wide)) for s, a in zip(self.sorted, at)]
-            new_hi = [int(s.searchsorted(a + wide, side="right")) for s, a in zip(self.sorted, at)]
-            if lo is None:
-                fresh = [o[a:b] for o, a, b in zip(self.order, new_lo, new_hi)]
-            else:
-                fresh = [o[a:b] for o, a, b in zip(self.order, new_lo, lo)] + [o[a:b] for o, a, b in zip(self.order, hi, new_hi)]
-            counts += np.bincount(np.concatenate(fresh), minlength=n)
-            found = np.flatnonzero(counts >= least)
-            if len(found) >= enough or all(a == 0 for a in new_lo) and all(b == n for b in new_hi):
-                break
-            lo, hi, wide = new_lo, new_hi, wide * GROWTH
-        found = found[self.ids[found] != one]
-        return found[best(self.x[found] @ q, self.ids[found], k)]
+        counts, wide, active = np.zeros((len(queries), n), np.int16), self.start, np.arange(len(queries))
+        while len(active):
+            ends = [np.stack([s.searchsorted(at[active, j] + d, side=side) for j, s in enumerate(self.sorted)], axis=1) for d, side in ((-wide, "left"), (wide, "right"))]
+            old_lo, old_hi = (lo, hi) if lo is not None else (ends[0], ends[0])
+            done = np.zeros(len(active), bool)
+            for i, q in enumerate(active.tolist()):
+                a, b, c, d = (x[i].tolist() for x in (ends[0], old_lo, old_hi, ends[1]))
+                fresh = [o[x:y] for o, x, y in zip(self.order, c, d)] + ([o[x:y] for o, x, y in zip(self.order, a, b)] if lo is not None else [])
+                counts[q] += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
+                found = np.flatnonzero(counts[q] >= least)
+                if len(found) >= enough or not any(a) and min(d) == n:
+                    done[i] = True
+                    found = found[self.ids[found] != ones[q]]
+                    out[q] = found[best(self.x[found] @ queries[q], self.ids[found], k)]
+            active, lo, hi, wide = active[~done], ends[0][~done], ends[1][~done], wide * GROWTH
+        return out
 
 
 def nearest(rows: DataFrame, k: int = 20, every: int = 20, block: int = BLOCK) -> DataFrame:
@@ -92,10 +95,11 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, block: int = BLOCK) -
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
             of = Block(ids, x, most, directions)
-            for one, q in zip(*batch_arrays(right.combine_chunks().to_batches()[0], width)):
-                at = of.search(int(one), q, k)
-                # summed from the first component to the last, as a plain loop would
-                out.append((np.full(len(at), one), ids[at], np.cumsum(x[at] * q, axis=1)[:, -1]))
+            ones, queries = batch_arrays(right.combine_chunks().to_batches()[0], width)
+            for i in range(0, len(ones), 256):
+                for one, q, at in zip(ones[i : i + 256], queries[i : i + 256], of.search(ones[i : i + 256], queries[i : i + 256], k)):
+                    # summed from the first component to the last, as a plain loop would
+                    out.append((np.full(len(at), one), ids[at], np.cumsum(x[at] * q, axis=1)[:, -1]))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2].astype(float)})
 
