@@ -19,6 +19,8 @@ from driftframe.llm.vectors import batch_arrays, best, ranked, usable
 #: Projections; share of them in which a candidate collides; share of a block that is verified at least;
 #: growth of the windows; vectors of a block; queries that meet a block at once.
 PROJECTIONS, THRESHOLD, VERIFIED, GROWTH, BLOCK, ASKED = 64, 0.5, 0.25, 1.1, 16384, 8192
+#: At least so many vectors of a block are verified, whatever its size.
+LEAST_VERIFIED = 1024
 SEED = 42
 
 
@@ -46,7 +48,7 @@ class Block:
         """For each query, places of the k best of the vectors verified for it, those of its own id left out."""
         n, m = len(self.ids), len(self.order)
         at = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1) @ self.directions
-        enough, least = min(n, int(VERIFIED * n) + k + 1), THRESHOLD * m
+        enough, least = min(n, max(int(VERIFIED * n), LEAST_VERIFIED) + k + 1), THRESHOLD * m
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         lo = hi = None
         counts, wide, active = np.zeros((len(queries), n), np.int16), self.start, np.arange(len(queries))
