@@ -139,6 +139,7 @@ SEGMENTS, SEGMENT_BITS, NEAR_BITS, SAME_BITS = 8, 16, 28, 16
 #: In a variant of more fingerprints, those nearly equal to one compared before take no further part.
 LARGE = 512
 _ENTRY = np.dtype([("k", "<u4"), ("f", "<u8", 2)])
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 
 
 def _wide(shingles: list[bytes]) -> tuple[int, int]:
@@ -203,12 +204,9 @@ def _near_in_run(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(map(np.concatenate, (i, j, d)))
 
 
-def _near_pairs(batches):
+def _near_pairs(rows: np.ndarray) -> np.ndarray:
     """Candidate links: in each run, of each fingerprint with its closest near one and with the first near one."""
-    rows = gathered(batches, _ENTRY)
-    if not len(rows):
-        return
-    rows = rows[np.argsort(rows["k"], kind="stable")]
+    rows = rows[np.lexsort((rows["f"][:, 1], rows["f"][:, 0], rows["k"]))]  # whatever order they came in
     k, f, found = rows["k"], rows["f"], []
     begin = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
     size = np.diff(begin)
@@ -234,7 +232,25 @@ def _near_pairs(batches):
         kept.append(np.stack([node[both[0][one]], node[both[1][one]]], axis=1))
     pairs = np.concatenate(kept)
     pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    out = np.empty(len(pairs), _PAIR)
+    out["a"], out["b"] = pairs[:, 0], pairs[:, 1]
+    return out
+
+
+def _packed_pairs(targets: int):
+    def run(batches):
+        rows = gathered(batches, _ENTRY)
+        if len(rows):
+            pairs = _near_pairs(rows)
+            if out := dealt((mix64(pairs["a"].view(np.uint64)) % np.uint64(targets)).astype(np.int64), pairs):
+                yield out
+
+    return run
+
+
+def _distinct_pairs(batches):
+    pairs = np.unique(gathered(batches, _PAIR))
+    yield pa.RecordBatch.from_arrays([pa.array(pairs["a"].copy()), pa.array(pairs["b"].copy())], ["a", "b"])
 
 
 def _shingle_sets(words: int):
@@ -277,8 +293,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = saved(texts.mapInArrow(_wide_fingerprints(words), "doc_id long, node long, f0 long, f1 long"), "fingerprints")
     classes = saved(rows.groupBy("node", "f0", "f1").agg(F.min("doc_id").alias("least")), "classes")
-    pairs = classes.select("f0", "f1").mapInArrow(_segment_variants(n), "target int, blob binary").repartition(n, "target").mapInArrow(_near_pairs, "a long, b long")
-    pairs = saved(pairs.distinct(), "pairs")
+    packed = "target int, blob binary"
+    pairs = classes.select("f0", "f1").mapInArrow(_segment_variants(n), packed).repartition(n, "target").mapInArrow(_packed_pairs(n), packed)
+    pairs = saved(pairs.repartition(n, "target").mapInArrow(_distinct_pairs, "a long, b long"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", F.col("least").alias("id"))
     sets = texts.mapInArrow(_shingle_sets(words), "id long, node long, set binary").join(wanted, ["node", "id"]).groupBy("node").agg(F.first("set").alias("set"))
     sets = saved(sets, "sets")
