@@ -296,7 +296,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     packed = "target int, blob binary"
     pairs = classes.select("f0", "f1").mapInArrow(_segment_variants(n), packed).repartition(n, "target").mapInArrow(_packed_pairs(n), packed)
     pairs = saved(pairs.repartition(n, "target").mapInArrow(_distinct_pairs, "a long, b long"), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", F.col("least").alias("id"))
+    ends = pairs.select(F.col("a").alias("node")).distinct().unionAll(pairs.select(F.col("b").alias("node")).distinct())
+    wanted = ends.distinct().join(classes, "node").select("node", F.col("least").alias("id"))
     sets = texts.mapInArrow(_shingle_sets(words), "id long, node long, set binary").join(wanted, ["node", "id"]).groupBy("node").agg(F.first("set").alias("set"))
     sets = saved(sets, "sets")
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
