@@ -135,10 +135,16 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
 # of 16 bits, one then differs in at most 1 bit with a chance of 0.93 (0.85: 0.97; 0.9: 0.996). What shares
 # a one-wildcard variant of a segment is compared by the whole fingerprint; what is near
 # enough there is verified by the shingles themselves.
-SEGMENTS, SEGMENT_BITS, NEAR_BITS, SAME_BITS = 8, 16, 28, 16
-#: In a variant of more fingerprints, those nearly equal to one compared before take no further part.
+#
+# A round sends, for each fingerprint of a variant, its closest candidates and the first one; which
+# fingerprints have more of them is sent too. These alone meet again in the next round, where candidates
+# that links already connect don't count and MORE times as many are sent, until none has more. So large groups
+# of copies need few pairs, and no candidate is left out but between texts already connected.
+SEGMENTS, SEGMENT_BITS, NEAR_BITS, SAME_BITS, MORE = 8, 16, 28, 16, 4
+#: Variants of more fingerprints are compared by way of heads, each for all fingerprints nearly equal to it.
 LARGE = 512
 _ENTRY = np.dtype([("k", "<u4"), ("f", "<u8", 2)])
+_NAMED = np.dtype([("k", "<u4"), ("f", "<u8", 2), ("c", "<i8")])  # with what the fingerprint is connected to
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 
 
@@ -163,13 +169,15 @@ def _wide_fingerprints(words: int):
     return run
 
 
-def _segment_variants(targets: int):
+def _segment_variants(targets: int, entry: np.dtype):
     def run(batches):
         for b in batches:
             f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in (0, 1)], axis=1)
             for s in range(SEGMENTS):
                 bits = (f[:, s // 4] >> np.uint64(SEGMENT_BITS * (s % 4))) & np.uint64(0xFFFF)
-                rows = np.zeros((SEGMENT_BITS, len(f)), _ENTRY)
+                rows = np.zeros((SEGMENT_BITS, len(f)), entry)
+                if "c" in entry.names:
+                    rows["c"] = b.column(2).to_numpy()
                 for p in range(SEGMENT_BITS):
                     rows["k"][p] = (bits & np.uint64(0xFFFF ^ (1 << p))) | np.uint64((s * SEGMENT_BITS + p) << SEGMENT_BITS)
                     rows["f"][p] = f
@@ -184,34 +192,67 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _near_in_run(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a large run: pairs (i, j, distance) of each fingerprint's closest and first near one."""
-    rest, i, j, d = np.arange(len(f)), [], [], []
+def _to_heads(f: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For a large run: arrays (i, j, distance) of each fingerprint's closest and first near head, and which may have more.
+
+    What is near to a fingerprint is at most NEAR_BITS + SAME_BITS from the head of that one.
+    """
+    rest, more = np.arange(len(f)), np.zeros(len(f), bool)
     best, best_d, first = np.full(len(f), -1), np.full(len(f), NEAR_BITS + 1), np.full(len(f), -1)
-    while len(rest) > 1:
-        head, rest = rest[0], rest[1:]
-        apart = _distance(f[rest], f[head])
-        near = rest[apart <= NEAR_BITS]
-        first[near[first[near] < 0]] = head
-        closer = apart < best_d[rest]
-        best[rest[closer]], best_d[rest[closer]] = head, apart[closer]
-        rest = rest[apart > SAME_BITS]
-    for to in (best, first):
-        has = np.flatnonzero(to >= 0)
-        i.append(has)
-        j.append(to[has])
-        d.append(_distance(f[has], f[to[has]]))
-    return tuple(map(np.concatenate, (i, j, d)))
-
-
-def _near_pairs(rows: np.ndarray) -> np.ndarray:
-    """Candidate links: in each run, of each fingerprint with its closest near one and with the first near one."""
+    while len(rest):
+        head, apart = rest[0], _distance(f, f[rest[0]])
+        reach = apart <= NEAR_BITS + SAME_BITS
+        more |= reach & (reach.sum() > 1)
+        apart[head] = NEAR_BITS + 1
+        first[(apart <= NEAR_BITS) & (first < 0)] = head
+        closer = apart < best_d
+        best[closer], best_d[closer] = head, apart[closer]
+        rest = rest[1:][apart[rest[1:]] > SAME_BITS]
+    i = np.concatenate([np.flatnonzero(best >= 0), np.flatnonzero(first >= 0)])
+    j = np.concatenate([best[best >= 0], first[first >= 0]])
+    return [i, j, _distance(f[i], f[j])], more
+
+
+def _to_members(f: np.ndarray, c: np.ndarray, each: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For a large run: (i, j, distance) of at least each fingerprint's closest and first near ones not connected to it,
+    and which have more."""
+    rest, found, n = np.arange(len(f)), [np.zeros((3, 0), np.int64)], np.zeros(len(f), np.int64)
+    while len(rest):
+        apart = _distance(f, f[rest[0]])
+        members, rest = rest[apart[rest] <= SAME_BITS], rest[apart[rest] > SAME_BITS]
+        reach = np.flatnonzero(apart <= NEAR_BITS + SAME_BITS)
+        names, many = np.unique(c[members], return_counts=True)
+        most = names[many.argmax()]
+        for left, right in ((reach[c[reach] != most], members), (reach[c[reach] == most], members[c[members] != most])):
+            if not len(right):
+                continue
+            for at in np.split(left, range(rows := max(1, (1 << 20) // len(right)), len(left), rows)):
+                d = _distance(f[at][:, None], f[right][None])
+                near = (d <= NEAR_BITS) & (c[at][:, None] != c[right][None])
+                n[at] += near.sum(axis=1)
+                d[~near] = NEAR_BITS + 1
+                closest = np.argsort(d, axis=1, kind="stable")[:, :each]
+                some = near.any(axis=1)
+                x = np.concatenate([np.repeat(np.arange(len(at)), closest.shape[1]), np.flatnonzero(some)])
+                y = np.concatenate([closest.ravel(), near.argmax(axis=1)[some]])
+                x, y = x[near[x, y]], y[near[x, y]]
+                found.append(np.stack([at[x], right[y], d[x, y]]))
+    return list(np.concatenate(found, axis=1)), n > each
+
+
+def _near_pairs(rows: np.ndarray, each: int) -> np.ndarray:
+    """Candidates: in each run, of each fingerprint with its closest near ones, as many as each, and with the first.
+
+    Near ones connected already don't count. A pair of a node with itself says that it may have more.
+    """
     rows = rows[np.lexsort((rows["f"][:, 1], rows["f"][:, 0], rows["k"]))]  # whatever order they came in
-    k, f, found = rows["k"], rows["f"], []
+    k, f, node = rows["k"], rows["f"], _nodes(rows["f"])
+    c, found, more = rows["c"] if "c" in rows.dtype.names else None, [np.zeros((3, 0), np.int64)], np.zeros(len(rows), bool)
     begin = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
     size = np.diff(begin)
     for r in np.flatnonzero(size > LARGE):
-        i, j, d = _near_in_run(f[begin[r] : begin[r + 1]])
+        own = slice(begin[r], begin[r + 1])
+        (i, j, d), more[own] = _to_heads(f[own]) if c is None else _to_members(f[own], c[own], each)
         found.append(np.stack([i + begin[r], j + begin[r], d]))
     at = np.flatnonzero(np.repeat(size, size) <= LARGE)
     step = 1
@@ -220,28 +261,34 @@ def _near_pairs(rows: np.ndarray) -> np.ndarray:
         at = at[k[at] == k[at + step]]
         d = _distance(f[at], f[at + step])
         near = d <= NEAR_BITS
-        found.append(np.stack([at[near], at[near] + step, d[near]]))
+        if c is not None:
+            near &= c[at] != c[at + step]
+        a, b, d = at[near], at[near] + step, d[near]
+        found += [np.stack([a, b, d]), np.stack([b, a, d])]
         step += 1
-    i, j, d = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-    both = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
-    node = _nodes(f)
-    kept = []
-    for order in (np.lexsort((both[2], both[0])), np.lexsort((both[1], both[0]))):  # the closest; the first
-        a = both[0][order]
-        one = order[np.concatenate([[True], np.diff(a) != 0])] if len(a) else order
-        kept.append(np.stack([node[both[0][one]], node[both[1][one]]], axis=1))
-    pairs = np.concatenate(kept)
-    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+    i, j, d = np.concatenate(found, axis=1)
+    _, one = np.unique(i * len(rows) + j, return_index=True)  # in the order of i, then j
+    i, j, d = i[one], j[one], d[one]
+    chosen = np.zeros(len(i), bool)
+    chosen[np.flatnonzero(np.diff(i, prepend=-1))] = True
+    order = np.lexsort((j, d, i))
+    starts = np.flatnonzero(np.diff(i, prepend=-1))  # i is sorted in both orders
+    rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+    chosen[order[rank < each]] = True
+    more[i[~chosen]] = True
+    pairs = np.stack([node[i[chosen]], node[j[chosen]]], axis=1)
+    pairs = np.concatenate([np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), np.repeat(node[more][:, None], 2, axis=1)])
+    pairs = np.unique(pairs, axis=0)
     out = np.empty(len(pairs), _PAIR)
     out["a"], out["b"] = pairs[:, 0], pairs[:, 1]
     return out
 
 
-def _packed_pairs(targets: int):
+def _packed_pairs(targets: int, entry: np.dtype, each: int):
     def run(batches):
-        rows = gathered(batches, _ENTRY)
+        rows = gathered(batches, entry)
         if len(rows):
-            pairs = _near_pairs(rows)
+            pairs = _near_pairs(rows, each)
             if out := dealt((mix64(pairs["a"].view(np.uint64)) % np.uint64(targets)).astype(np.int64), pairs):
                 yield out
 
@@ -281,6 +328,14 @@ def _similar(similarity: float):
     return run
 
 
+def _candidates(rows: DataFrame, each: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes, a < b, and (a, a) for nodes that may have more; rows: f0, f1, and component after the first round."""
+    n, packed = partitions(rows.sparkSession), "target int, blob binary"
+    entry = _NAMED if "component" in rows.columns else _ENTRY
+    pairs = rows.mapInArrow(_segment_variants(n, entry), packed).repartition(n, "target").mapInArrow(_packed_pairs(n, entry, each), packed)
+    return saved(pairs.repartition(n, "target").mapInArrow(_distinct_pairs, "a long, b long"), "pairs")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, first) for each row of docs (doc_id, text, ...): first is the smallest doc_id of the row's group.
 
@@ -289,20 +344,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     share one, null and empty texts another. Texts of equal fingerprints of 128 bits count as equal. A
     null doc_id is first only in a group without others. Other columns are not looked at.
     """
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = saved(texts.mapInArrow(_wide_fingerprints(words), "doc_id long, node long, f0 long, f1 long"), "fingerprints")
     classes = saved(rows.groupBy("node", "f0", "f1").agg(F.min("doc_id").alias("least")), "classes")
-    packed = "target int, blob binary"
-    pairs = classes.select("f0", "f1").mapInArrow(_segment_variants(n), packed).repartition(n, "target").mapInArrow(_packed_pairs(n), packed)
-    pairs = saved(pairs.repartition(n, "target").mapInArrow(_distinct_pairs, "a long, b long"), "pairs")
+    pairs, each = _candidates(classes.select("f0", "f1"), 1), 1
     ends = pairs.select(F.col("a").alias("node")).distinct().unionAll(pairs.select(F.col("b").alias("node")).distinct())
-    wanted = ends.distinct().join(classes, "node").select("node", F.col("least").alias("id"))
-    sets = texts.mapInArrow(_shingle_sets(words), "id long, node long, set binary").join(wanted, ["node", "id"]).groupBy("node").agg(F.first("set").alias("set"))
+    wanted = ends.distinct().join(classes, "node").select(F.col("node").alias("of"), F.col("least").alias("by"))
+    sets = texts.mapInArrow(_shingle_sets(words), "id long, node long, set binary").join(wanted, F.expr("node = of and id <=> by"), "left_semi").groupBy("node").agg(F.first("set").alias("set"))
     sets = saved(sets, "sets")
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    found = components(with_both.mapInArrow(_similar(similarity), "a long, b long"))
+    links = seen = None
+    while True:
+        fresh = pairs.where("a < b")
+        fresh = fresh if seen is None else fresh.join(seen, ["a", "b"], "left_anti")
+        seen = fresh if seen is None else seen.unionAll(fresh)
+        with_a = fresh.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+        with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+        new = saved(with_both.mapInArrow(_similar(similarity), "a long, b long"), "links")
+        links = new if links is None else links.unionAll(new)
+        found, more = saved(components(links), "components"), pairs.where("a = b").select(F.col("a").alias("node"))
+        if more.isEmpty():
+            break
+        each *= MORE
+        again = classes.join(more, "node").join(found, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("component"))
+        pairs = _candidates(again, each)
     named = classes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     firsts = named.groupBy("component").agg(F.min("least").alias("first"))
     of = saved(named.join(firsts, "component").select("node", "first"), "firsts")

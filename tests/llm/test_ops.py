@@ -88,6 +88,54 @@ def test_near_duplicates(spark, docs, empty):
     assert simhash.without_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("large", [4, 512])
+def test_candidates_are_complete(monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    rng = np.random.default_rng(5)
+    f = rng.integers(0, 1 << 63, (3, 2)).astype(np.uint64).repeat(30, axis=0)
+    for i, bit in zip(np.arange(90).repeat(11), rng.integers(0, 128, 990)):
+        f[i, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    node, near = simhash._nodes(f), np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2) <= simhash.NEAR_BITS
+    want = {tuple(sorted((int(node[i]), int(node[j])))) for i, j in zip(*np.nonzero(near)) if i < j}
+    rows = np.zeros(90, simhash._NAMED)
+    rows["f"], rows["c"] = f, np.arange(90)
+    both = lambda r, each: {tuple(map(int, p)) for p in simhash._near_pairs(r, each)}
+    assert both(rows, 90) - {(x, x) for x in node.tolist()} == want and len(want) > 800
+    for r in (rows, rows[["k", "f"]].astype(simhash._ENTRY)):  # whoever lacks a partner says that it may have more
+        few = both(r, 1)
+        assert len(few) < 300 and all((x, x) in few and (y, y) in few for x, y in want - few)
+    rows["c"] = np.arange(90) // 30  # connected already
+    assert not both(rows, 1)
+
+
+@pytest.mark.parametrize("large", [8, 512])
+def test_near_duplicates_of_large_groups(spark, monkeypatch, large):
+    """Copies at 0.8 or a little less of one another: what the closest ones don't connect, others do."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    rng, texts = np.random.default_rng(3), []
+    for g in range(3):
+        for k in range(40):
+            words = [f"g{g}w{i}" for i in range(200)]
+            for e in rng.choice(200, rng.integers(1, 7), replace=False):
+                words[e] = f"x{g}_{k}_{e}"
+            texts.append(" ".join(words))
+    sets, f = [set(simhash.shingle_slices(t, 5)) for t in texts], np.array([simhash._wide(simhash.shingle_slices(t, 5)) for t in texts], np.uint64)
+    apart = np.stack([np.bitwise_count((f[:, None, s // 4] ^ f[None, :, s // 4]) >> np.uint64(16 * (s % 4)) & np.uint64(0xFFFF)) for s in range(8)])
+    found = (apart.min(axis=0) <= 1) & (apart.sum(axis=0) <= simhash.NEAR_BITS)  # what signatures promise
+    similar = np.array([[len(x & y) >= 0.8 * len(x | y) for y in sets] for x in sets])
+
+    def firsts(links):
+        out = list(range(len(texts)))
+        for i, j in zip(*np.nonzero(links)):
+            low, high = sorted((out[i], out[j]))
+            out = [low if x == high else x for x in out]
+        return out
+
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).toPandas()
+    got = got.sort_values("doc_id")["first"].tolist()
+    assert got == firsts(similar & found) and np.mean(np.array(got) == firsts(similar)) >= 0.97
+
+
 def brute_repeats(rows, length=20):
     words = [((r[0] if r[0] is not None else 1 << 62), (r[1] or "").encode().split()) for r in rows]
     starts, first = [], {}
