@@ -10,6 +10,8 @@ that rest of 16, after which at most 2**11 fingerprints can share a variant.
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -383,7 +385,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float =
     kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
     if near.where("doc_id <=> first").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
-    return kept.withColumn("__text", F.lower(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return kept.withColumn("__text", F.translate(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), string.ascii_uppercase, string.ascii_lowercase)).dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
