@@ -142,12 +142,19 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
 # fingerprints have more of them is sent too. These alone meet again in the next round, where candidates
 # that links already connect don't count and MORE times as many are sent, until none has more. So large groups
 # of copies need few pairs, and no candidate is left out but between texts already connected.
-SEGMENTS, SEGMENT_BITS, NEAR_BITS, SAME_BITS, MORE = 8, 16, 28, 16, 4
+#
+# From the second round on, candidates are verified in cells: fingerprints that the first round's candidates
+# connect are divided into blocks, a cell holds the candidates between two blocks, and a set of shingles is
+# sent once to each cell that needs it, not once for each of its candidates.
+SEGMENTS, SEGMENT_BITS, NEAR_BITS, SAME_BITS, MORE = 8, 16, 28, 16, 16
+#: A block has about so many fingerprints, or so many bytes of shingles, at most.
+BLOCK_NODES, BLOCK_BYTES = 512, 4 << 20
 #: Variants of more fingerprints are compared by way of heads, each for all fingerprints nearly equal to it.
 LARGE = 512
 _ENTRY = np.dtype([("k", "<u4"), ("f", "<u8", 2)])
-_NAMED = np.dtype([("k", "<u4"), ("f", "<u8", 2), ("c", "<i8")])  # with what the fingerprint is connected to
+_NAMED = np.dtype([("k", "<u4"), ("f", "<u8", 2), ("c", "<i8"), ("block", "<i8")])  # with what the fingerprint is connected to, and its block
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
+_IN_CELL = np.dtype([("cell", "<i8"), ("a", "<i8"), ("b", "<i8")])
 
 
 def _wide(shingles: list[bytes]) -> tuple[int, int]:
@@ -179,7 +186,7 @@ def _segment_variants(targets: int, entry: np.dtype):
                 bits = (f[:, s // 4] >> np.uint64(SEGMENT_BITS * (s % 4))) & np.uint64(0xFFFF)
                 rows = np.zeros((SEGMENT_BITS, len(f)), entry)
                 if "c" in entry.names:
-                    rows["c"] = b.column(2).to_numpy()
+                    rows["c"], rows["block"] = b.column(2).to_numpy(), b.column(3).to_numpy()
                 for p in range(SEGMENT_BITS):
                     rows["k"][p] = (bits & np.uint64(0xFFFF ^ (1 << p))) | np.uint64((s * SEGMENT_BITS + p) << SEGMENT_BITS)
                     rows["f"][p] = f
@@ -286,11 +293,11 @@ def _near_pairs(rows: np.ndarray, each: int) -> np.ndarray:
     return out
 
 
-def _packed_pairs(targets: int, entry: np.dtype, each: int):
+def _packed_pairs(targets: int):
     def run(batches):
-        rows = gathered(batches, entry)
+        rows = gathered(batches, _ENTRY)
         if len(rows):
-            pairs = _near_pairs(rows, each)
+            pairs = _near_pairs(rows, 1)
             if out := dealt((mix64(pairs["a"].view(np.uint64)) % np.uint64(targets)).astype(np.int64), pairs):
                 yield out
 
@@ -302,6 +309,37 @@ def _distinct_pairs(batches):
     yield pa.RecordBatch.from_arrays([pa.array(pairs["a"].copy()), pa.array(pairs["b"].copy())], ["a", "b"])
 
 
+def _packed_cells(targets: int, each: int):
+    def run(batches):
+        rows = gathered(batches, _NAMED)
+        if len(rows):
+            pairs = _near_pairs(rows, each)
+            node, one = np.unique(_nodes(rows["f"]), return_index=True)
+            low, high = np.sort([rows["block"][one][np.searchsorted(node, pairs[x])] for x in "ab"], axis=0).view(np.uint64)
+            out = np.empty(len(pairs), _IN_CELL)
+            out["a"], out["b"] = pairs["a"], pairs["b"]
+            out["cell"] = np.where(pairs["a"] == pairs["b"], pairs["a"], mix64(mix64(low) + high).view(np.int64))
+            if found := dealt((mix64(out["cell"].view(np.uint64)) % np.uint64(targets)).astype(np.int64), out):
+                yield found
+
+    return run
+
+
+def _cell_rows(batches):
+    """For each cell, its pairs as one row and each of its nodes as one; nodes that may have more without a cell."""
+    found = np.unique(gathered(batches, _IN_CELL))
+    same = found["a"] == found["b"]
+    more, found = found["a"][same], found[~same]
+    cuts = np.flatnonzero(np.diff(found["cell"])) + 1
+    for own in np.split(found, cuts) if len(found) else []:
+        nodes = np.unique([own["a"], own["b"]])
+        pairs = np.empty(len(own), _PAIR)
+        pairs["a"], pairs["b"] = own["a"], own["b"]
+        cell = pa.array(np.full(1 + len(nodes), own["cell"][0]))
+        yield pa.RecordBatch.from_arrays([cell, pa.array([None, *nodes.tolist()], pa.int64()), pa.array([pairs.tobytes()] + [None] * len(nodes), pa.binary())], ["cell", "node", "pairs"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.array(more.copy()), pa.nulls(len(more), pa.binary())], ["cell", "node", "pairs"])
+
+
 def _shingle_sets(words: int):
     def run(batches):
         for b in batches:
@@ -316,28 +354,95 @@ def _shingle_sets(words: int):
     return run
 
 
+def _alike(x: bytes, y: bytes, similarity: float) -> bool:
+    x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
 def _similar(similarity: float):
     def run(batches):
         for b in batches:
-            kept = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= similarity * (len(x) + len(y) - both))
-            keep = pa.array(kept, pa.bool_())
+            keep = pa.array([_alike(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     return run
 
 
-def _candidates(rows: DataFrame, each: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes, a < b, and (a, a) for nodes that may have more; rows: f0, f1, and component after the first round."""
+def _links_of_cell(pairs: bytes, sets: dict[int, bytes], similarity: float) -> list[tuple[int, int]]:
+    """Those similar pairs that join what was apart; pairs that these connect are not compared."""
+    root = {x: x for x in sets}
+
+    def find(x: int) -> int:
+        while (y := root[x]) != x:
+            root[x] = root[y]
+            x = y
+        return x
+
+    kept = []
+    for a, b in np.frombuffer(pairs, _PAIR).tolist():
+        p, q = find(a), find(b)
+        if p != q and _alike(sets[a], sets[b], similarity):
+            root[max(p, q)] = min(p, q)
+            kept.append((a, b))
+    return kept
+
+
+def _similar_in_cells(similarity: float):
+    """rows (cell, node, set, pairs) in the order of cell, that of its pairs first."""
+
+    def run(batches):
+        cell, pairs, sets = None, None, {}
+
+        def links():
+            kept = _links_of_cell(pairs, sets, similarity) if sets else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for c, node, shingles, own in zip(*(x.to_pylist() for x in batch.columns)):
+                if c != cell:
+                    yield links()
+                    cell, pairs, sets = c, own, {}
+                else:
+                    sets[node] = shingles
+        yield links()
+
+    return run
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """The first round's distinct pairs (a, b) of nodes, a < b, and (a, a) for nodes that may have more; rows: f0, f1."""
     n, packed = partitions(rows.sparkSession), "target int, blob binary"
-    entry = _NAMED if "component" in rows.columns else _ENTRY
-    pairs = rows.mapInArrow(_segment_variants(n, entry), packed).repartition(n, "target").mapInArrow(_packed_pairs(n, entry, each), packed)
+    pairs = rows.mapInArrow(_segment_variants(n, _ENTRY), packed).repartition(n, "target").mapInArrow(_packed_pairs(n), packed)
     return saved(pairs.repartition(n, "target").mapInArrow(_distinct_pairs, "a long, b long"), "pairs")
 
 
+def _blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, block) of the nodes that may have more: blocks divide what the first round's candidates connect."""
+    clusters = saved(components(pairs), "clusters").withColumnRenamed("component", "cluster")
+    own = pairs.where("a = b").select(F.col("a").alias("node")).join(sets.select("node", F.length("set").alias("bytes")), "node")
+    own = saved(own.join(clusters, "node", "left").select("node", "bytes", F.coalesce("cluster", "node").alias("cluster")), "clustered")
+    count = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES))
+    sizes = own.groupBy("cluster").agg(count.alias("blocks"))
+    return saved(own.join(sizes, "cluster").select("node", F.expr("xxhash64(cluster, pmod(xxhash64(node), blocks))").alias("block")), "blocks")
+
+
+def _cells(rows: DataFrame, each: int) -> DataFrame:
+    """A later round's candidates as _cell_rows says; rows: f0, f1, component, block."""
+    n, packed = partitions(rows.sparkSession), "target int, blob binary"
+    pairs = rows.mapInArrow(_segment_variants(n, _NAMED), packed).repartition(n, "target").mapInArrow(_packed_cells(n, each), packed)
+    return saved(pairs.repartition(n, "target").mapInArrow(_cell_rows, "cell long, node long, pairs binary"), "cells")
+
+
+def _cell_links(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    inside = cells.where("cell is not null and node is not null").join(sets, "node").select("cell", "node", "set", F.lit(None).cast("binary").alias("pairs"))
+    whole = cells.where("pairs is not null").select("cell", "node", F.lit(None).cast("binary").alias("set"), "pairs")
+    rows = inside.unionAll(whole).repartition(partitions(cells.sparkSession), "cell").sortWithinPartitions("cell", "node")
+    return saved(rows.mapInArrow(_similar_in_cells(similarity), "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, first) for each row of docs (doc_id, text, ...): first is the smallest doc_id of the row's group.
 
@@ -349,26 +454,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = saved(texts.mapInArrow(_wide_fingerprints(words), "doc_id long, node long, f0 long, f1 long"), "fingerprints")
     classes = saved(rows.groupBy("node", "f0", "f1").agg(F.min("doc_id").alias("least")), "classes")
-    pairs, each = _candidates(classes.select("f0", "f1"), 1), 1
+    pairs, each = _candidates(classes.select("f0", "f1")), 1
     ends = pairs.select(F.col("a").alias("node")).distinct().unionAll(pairs.select(F.col("b").alias("node")).distinct())
     wanted = ends.distinct().join(classes, "node").select(F.col("node").alias("of"), F.col("least").alias("by"))
     sets = texts.mapInArrow(_shingle_sets(words), "id long, node long, set binary").join(wanted, F.expr("node = of and id <=> by"), "left_semi").groupBy("node").agg(F.first("set").alias("set"))
     sets = saved(sets, "sets")
-    links = seen = None
-    while True:
-        fresh = pairs.where("a < b")
-        fresh = fresh if seen is None else fresh.join(seen, ["a", "b"], "left_anti")
-        seen = fresh if seen is None else seen.unionAll(fresh)
-        with_a = fresh.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-        with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-        new = saved(with_both.mapInArrow(_similar(similarity), "a long, b long"), "links")
-        links = new if links is None else links.unionAll(new)
-        found, more = saved(components(links), "components"), pairs.where("a = b").select(F.col("a").alias("node"))
-        if more.isEmpty():
-            break
+    with_a = pairs.where("a < b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    links = saved(with_both.mapInArrow(_similar(similarity), "a long, b long"), "links")
+    found, more = saved(components(links), "components"), pairs.where("a = b").select(F.col("a").alias("node"))
+    blocks = None if more.isEmpty() else _blocks(pairs, sets)
+    while not more.isEmpty():
         each *= MORE
-        again = classes.join(more, "node").join(found, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("component"))
-        pairs = _candidates(again, each)
+        again = classes.join(blocks, "node").join(more, "node", "left_semi").join(found, "node", "left")
+        cells = _cells(again.select("f0", "f1", F.coalesce("component", "node").alias("component"), "block"), each)
+        links = links.unionAll(_cell_links(cells, sets, similarity))
+        found, more = saved(components(links), "components"), cells.where("cell is null").select("node")
     named = classes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     firsts = named.groupBy("component").agg(F.min("least").alias("first"))
     of = saved(named.join(firsts, "component").select("node", "first"), "firsts")
