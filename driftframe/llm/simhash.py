@@ -152,28 +152,41 @@ BLOCK_NODES, BLOCK_BYTES = 512, 4 << 20
 #: Variants of more fingerprints are compared by way of heads, each for all fingerprints nearly equal to it.
 LARGE = 512
 _ENTRY = np.dtype([("k", "<u4"), ("f", "<u8", 2)])
-_NAMED = np.dtype([("k", "<u4"), ("f", "<u8", 2), ("c", "<i8"), ("block", "<i8")])  # with what the fingerprint is connected to, and its block
+_FIRST = np.dtype([("k", "<u4"), ("f", "<u8", 2), ("s", "<i8")])  # with the hash of the set of shingles
+_NAMED = np.dtype([("k", "<u4"), ("f", "<u8", 2), ("s", "<i8"), ("c", "<i8"), ("block", "<i8")])  # with what the fingerprint is connected to, and its block
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 _IN_CELL = np.dtype([("cell", "<i8"), ("a", "<i8"), ("b", "<i8")])
 
 
+def _digests(shingles: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in shingles]), np.uint64).reshape(-1, 2)
+
+
+def _majority(raw: np.ndarray) -> tuple[int, int]:
+    return (int(bits_set(raw[:, 0])), int(bits_set(raw[:, 1]))) if len(raw) else (0, 0)
+
+
 def _wide(shingles: list[bytes]) -> tuple[int, int]:
-    if not shingles:
-        return 0, 0
-    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in shingles]), np.uint64).reshape(-1, 2)
-    return int(bits_set(raw[:, 0])), int(bits_set(raw[:, 1]))
+    return _majority(_digests(shingles))
+
+
+def _set_hash(raw: np.ndarray) -> int:
+    """Of the set of shingles, whatever their order and repeats."""
+    return xxhash.xxh3_64_intdigest(np.unique(raw[:, 0]).tobytes())
 
 
-def _nodes(f: np.ndarray) -> np.ndarray:
-    """One long for each fingerprint of two uint64."""
-    return mix64(f[:, 0] ^ mix64(f[:, 1])).view(np.int64)
+def _nodes(f: np.ndarray, s: np.ndarray | int = 0) -> np.ndarray:
+    """One long for each fingerprint of two uint64 and hash of a set."""
+    return mix64(f[:, 0] ^ mix64(f[:, 1])).view(np.int64) ^ s
 
 
 def _wide_fingerprints(words: int):
     def run(batches):
         for b in batches:
-            f = np.array([_wide(shingle_slices(t or "", words)) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_nodes(f)), *(pa.array(f[:, i].copy().view(np.int64)) for i in (0, 1))], ["doc_id", "node", "f0", "f1"])
+            raws = [_digests(shingle_slices(t or "", words)) for t in b.column(1).to_pylist()]
+            f = np.array([_majority(r) for r in raws], np.uint64).reshape(-1, 2)
+            s = np.array([_set_hash(r) for r in raws], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_nodes(f, s)), *(pa.array(f[:, i].copy().view(np.int64)) for i in (0, 1)), pa.array(s)], ["doc_id", "node", "f0", "f1", "s"])
 
     return run
 
@@ -185,8 +198,8 @@ def _segment_variants(targets: int, entry: np.dtype):
             for s in range(SEGMENTS):
                 bits = (f[:, s // 4] >> np.uint64(SEGMENT_BITS * (s % 4))) & np.uint64(0xFFFF)
                 rows = np.zeros((SEGMENT_BITS, len(f)), entry)
-                if "c" in entry.names:
-                    rows["c"], rows["block"] = b.column(2).to_numpy(), b.column(3).to_numpy()
+                for i, name in enumerate(entry.names[2:]):  # s and what follows
+                    rows[name] = b.column(2 + i).to_numpy()
                 for p in range(SEGMENT_BITS):
                     rows["k"][p] = (bits & np.uint64(0xFFFF ^ (1 << p))) | np.uint64((s * SEGMENT_BITS + p) << SEGMENT_BITS)
                     rows["f"][p] = f
@@ -254,8 +267,10 @@ def _near_pairs(rows: np.ndarray, each: int) -> np.ndarray:
 
     Near ones connected already don't count. A pair of a node with itself says that it may have more.
     """
-    rows = rows[np.lexsort((rows["f"][:, 1], rows["f"][:, 0], rows["k"]))]  # whatever order they came in
-    k, f, node = rows["k"], rows["f"], _nodes(rows["f"])
+    s = rows["s"] if "s" in rows.dtype.names else np.zeros(len(rows), np.int64)
+    order = np.lexsort((s, rows["f"][:, 1], rows["f"][:, 0], rows["k"]))  # whatever order they came in
+    rows, s = rows[order], s[order]
+    k, f, node = rows["k"], rows["f"], _nodes(rows["f"], s)
     c, found, more = rows["c"] if "c" in rows.dtype.names else None, [np.zeros((3, 0), np.int64)], np.zeros(len(rows), bool)
     begin = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
     size = np.diff(begin)
@@ -295,7 +310,7 @@ def _near_pairs(rows: np.ndarray, each: int) -> np.ndarray:
 
 def _packed_pairs(targets: int):
     def run(batches):
-        rows = gathered(batches, _ENTRY)
+        rows = gathered(batches, _FIRST)
         if len(rows):
             pairs = _near_pairs(rows, 1)
             if out := dealt((mix64(pairs["a"].view(np.uint64)) % np.uint64(targets)).astype(np.int64), pairs):
@@ -314,7 +329,7 @@ def _packed_cells(targets: int, each: int):
         rows = gathered(batches, _NAMED)
         if len(rows):
             pairs = _near_pairs(rows, each)
-            node, one = np.unique(_nodes(rows["f"]), return_index=True)
+            node, one = np.unique(_nodes(rows["f"], rows["s"]), return_index=True)
             low, high = np.sort([rows["block"][one][np.searchsorted(node, pairs[x])] for x in "ab"], axis=0).view(np.uint64)
             out = np.empty(len(pairs), _IN_CELL)
             out["a"], out["b"] = pairs["a"], pairs["b"]
@@ -345,10 +360,9 @@ def _shingle_sets(words: int):
         for b in batches:
             sets = []
             for t in b.column(1).to_pylist():
-                s = shingle_slices(t or "", words)
-                raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in s]), np.uint64).reshape(-1, 2)
-                f = np.array([[bits_set(raw[:, 0]), bits_set(raw[:, 1])]], np.uint64) if len(s) else np.zeros((1, 2), np.uint64)
-                sets.append((int(_nodes(f)[0]), np.unique((raw[:, 0] >> np.uint64(32)).astype("<u4")).tobytes()))
+                raw = _digests(shingle_slices(t or "", words))
+                s = np.array([_set_hash(raw)], np.uint64).view(np.int64)
+                sets.append((int(_nodes(np.array([_majority(raw)], np.uint64), s)[0]), np.unique((raw[:, 0] >> np.uint64(32)).astype("<u4")).tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], ["id", "node", "set"])
 
     return run
@@ -413,9 +427,9 @@ def _similar_in_cells(similarity: float):
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """The first round's distinct pairs (a, b) of nodes, a < b, and (a, a) for nodes that may have more; rows: f0, f1."""
+    """The first round's distinct pairs (a, b) of nodes, a < b, and (a, a) for nodes that may have more; rows: f0, f1, s."""
     n, packed = partitions(rows.sparkSession), "target int, blob binary"
-    pairs = rows.mapInArrow(_segment_variants(n, _ENTRY), packed).repartition(n, "target").mapInArrow(_packed_pairs(n), packed)
+    pairs = rows.mapInArrow(_segment_variants(n, _FIRST), packed).repartition(n, "target").mapInArrow(_packed_pairs(n), packed)
     return saved(pairs.repartition(n, "target").mapInArrow(_distinct_pairs, "a long, b long"), "pairs")
 
 
@@ -430,7 +444,7 @@ def _blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _cells(rows: DataFrame, each: int) -> DataFrame:
-    """A later round's candidates as _cell_rows says; rows: f0, f1, component, block."""
+    """A later round's candidates as _cell_rows says; rows: f0, f1, s, component, block."""
     n, packed = partitions(rows.sparkSession), "target int, blob binary"
     pairs = rows.mapInArrow(_segment_variants(n, _NAMED), packed).repartition(n, "target").mapInArrow(_packed_cells(n, each), packed)
     return saved(pairs.repartition(n, "target").mapInArrow(_cell_rows, "cell long, node long, pairs binary"), "cells")
@@ -448,13 +462,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     Groups connect texts whose sets of words-word shingles have a Jaccard similarity of similarity or more
     and that signatures find (see above); equal texts, but for white space and the case of A-Z, always
-    share one, null and empty texts another. Texts of equal fingerprints of 128 bits count as equal. A
-    null doc_id is first only in a group without others. Other columns are not looked at.
+    share one, null and empty texts another. Texts of equal sets of shingles count as equal; those of equal
+    fingerprints are verified like other candidates. A null doc_id is first only in a group without others. Other columns are not looked at.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = saved(texts.mapInArrow(_wide_fingerprints(words), "doc_id long, node long, f0 long, f1 long"), "fingerprints")
-    classes = saved(rows.groupBy("node", "f0", "f1").agg(F.min("doc_id").alias("least")), "classes")
-    pairs, each = _candidates(classes.select("f0", "f1")), 1
+    rows = saved(texts.mapInArrow(_wide_fingerprints(words), "doc_id long, node long, f0 long, f1 long, s long"), "fingerprints")
+    classes = saved(rows.groupBy("node", "f0", "f1", "s").agg(F.min("doc_id").alias("least")), "classes")
+    pairs, each = _candidates(classes.select("f0", "f1", "s")), 1
     ends = pairs.select(F.col("a").alias("node")).distinct().unionAll(pairs.select(F.col("b").alias("node")).distinct())
     wanted = ends.distinct().join(classes, "node").select(F.col("node").alias("of"), F.col("least").alias("by"))
     sets = texts.mapInArrow(_shingle_sets(words), "id long, node long, set binary").join(wanted, F.expr("node = of and id <=> by"), "left_semi").groupBy("node").agg(F.first("set").alias("set"))
@@ -467,7 +481,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     while not more.isEmpty():
         each *= MORE
         again = classes.join(blocks, "node").join(more, "node", "left_semi").join(found, "node", "left")
-        cells = _cells(again.select("f0", "f1", F.coalesce("component", "node").alias("component"), "block"), each)
+        cells = _cells(again.select("f0", "f1", "s", F.coalesce("component", "node").alias("component"), "block"), each)
         links = links.unionAll(_cell_links(cells, sets, similarity))
         found, more = saved(components(links), "components"), cells.where("cell is null").select("node")
     named = classes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))

@@ -136,6 +136,12 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch, large):
     assert got == firsts(similar & found) and np.mean(np.array(got) == firsts(similar)) >= 0.97
 
 
+def test_equal_fingerprints_are_verified(spark):
+    rows = [(i, "ha " * 300 + " ".join(f"{x}{j}" for j in range(200))) for i, x in enumerate("abc")]
+    got = simhash.near_duplicates(spark.createDataFrame([*rows, (9, rows[1][1])], "doc_id long, text string")).collect()
+    assert {r[0]: r[1] for r in got} == {0: 0, 1: 1, 2: 2, 9: 1}
+
+
 def brute_repeats(rows, length=20):
     words = [((r[0] if r[0] is not None else 1 << 62), (r[1] or "").encode().split()) for r in rows]
     starts, first = [], {}
