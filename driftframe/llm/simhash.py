@@ -159,7 +159,8 @@ _IN_CELL = np.dtype([("cell", "<i8"), ("a", "<i8"), ("b", "<i8")])
 
 
 def _digests(shingles: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in shingles]), np.uint64).reshape(-1, 2)
+    """Of the distinct shingles: the distance of fingerprints then follows the similarity of sets, whatever repeats."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in set(shingles)]), np.uint64).reshape(-1, 2)
 
 
 def _majority(raw: np.ndarray) -> tuple[int, int]:
@@ -171,8 +172,8 @@ def _wide(shingles: list[bytes]) -> tuple[int, int]:
 
 
 def _set_hash(raw: np.ndarray) -> int:
-    """Of the set of shingles, whatever their order and repeats."""
-    return xxhash.xxh3_64_intdigest(np.unique(raw[:, 0]).tobytes())
+    """Of the set of shingles, whatever their order."""
+    return xxhash.xxh3_64_intdigest(np.sort(raw[:, 0]).tobytes())
 
 
 def _nodes(f: np.ndarray, s: np.ndarray | int = 0) -> np.ndarray:

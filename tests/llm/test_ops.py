@@ -142,6 +142,13 @@ def test_equal_fingerprints_are_verified(spark):
     assert {r[0]: r[1] for r in got} == {0: 0, 1: 1, 2: 2, 9: 1}
 
 
+def test_near_copies_that_repeat_a_line(spark):
+    texts = [[f"r{k}w{i}" for i in range(300)] for k in range(20)]
+    rows = [(2 * k + c, " ".join(w + w[-12:] * (20 * c))) for k, w in enumerate(texts) for c in (0, 1)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["first"] == r["doc_id"] - 1 for r in got if r["doc_id"] % 2) >= 19
+
+
 def brute_repeats(rows, length=20):
     words = [((r[0] if r[0] is not None else 1 << 62), (r[1] or "").encode().split()) for r in rows]
     starts, first = [], {}
