@@ -10,12 +10,10 @@ that rest of 16, after which at most 2**11 fingerprints can share a variant.
 
 from __future__ import annotations
 
-import string
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe.llm.shared import components, dealt, forest, gathered, mix64, partitions, read, saved, tuned
@@ -187,7 +185,7 @@ def _wide_fingerprints(words: int):
             raws = [_digests(shingle_slices(t or "", words)) for t in b.column(1).to_pylist()]
             f = np.array([_majority(r) for r in raws], np.uint64).reshape(-1, 2)
             s = np.array([_set_hash(r) for r in raws], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_nodes(f, s)), *(pa.array(f[:, i].copy().view(np.int64)) for i in (0, 1)), pa.array(s)], ["doc_id", "node", "f0", "f1", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_nodes(f, s)), *(pa.array(f[:, i].copy().view(np.int64)) for i in (0, 1)), pa.array(s), b.column(2)], ["doc_id", "node", "f0", "f1", "s", "hash"])
 
     return run
 
@@ -458,6 +456,10 @@ def _cell_links(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return saved(rows.mapInArrow(_similar_in_cells(similarity), "a long, b long"), "links")
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, first) for each row of docs (doc_id, text, ...): first is the smallest doc_id of the row's group.
 
@@ -466,12 +468,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     share one, null and empty texts another. Texts of equal sets of shingles count as equal; those of equal
     fingerprints are verified like other candidates. A null doc_id is first only in a group without others. Other columns are not looked at.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = saved(texts.mapInArrow(_wide_fingerprints(words), "doc_id long, node long, f0 long, f1 long, s long"), "fingerprints")
-    classes = saved(rows.groupBy("node", "f0", "f1", "s").agg(F.min("doc_id").alias("least")), "classes")
+    return _groups(docs, words, similarity).select("doc_id", "first")
+
+
+def _groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, hash, first, first_hash) for each row: hash that of the text, first and first_hash those of one row of the group, of the smallest doc_id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("hash"))
+    rows = saved(texts.mapInArrow(_wide_fingerprints(words), "doc_id long, node long, f0 long, f1 long, s long, hash long"), "fingerprints")
+    classes = saved(rows.groupBy("node", "f0", "f1", "s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")), "classes")
     pairs, each = _candidates(classes.select("f0", "f1", "s")), 1
     ends = pairs.select(F.col("a").alias("node")).distinct().unionAll(pairs.select(F.col("b").alias("node")).distinct())
-    wanted = ends.distinct().join(classes, "node").select(F.col("node").alias("of"), F.col("least").alias("by"))
+    wanted = ends.distinct().join(classes, "node").select(F.col("node").alias("of"), F.col("least.doc_id").alias("by"))
     sets = texts.mapInArrow(_shingle_sets(words), "id long, node long, set binary").join(wanted, F.expr("node = of and id <=> by"), "left_semi").groupBy("node").agg(F.first("set").alias("set"))
     sets = saved(sets, "sets")
     with_a = pairs.where("a < b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
@@ -487,21 +494,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         found, more = saved(components(links), "components"), cells.where("cell is null").select("node")
     named = classes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     firsts = named.groupBy("component").agg(F.min("least").alias("first"))
-    of = saved(named.join(firsts, "component").select("node", "first"), "firsts")
-    return rows.join(of, "node").select("doc_id", "first")
+    of = saved(named.join(firsts, "component").select("node", F.col("first.doc_id").alias("first"), F.col("first.hash").alias("first_hash")), "firsts")
+    return rows.join(of, "node").select("doc_id", "hash", "first", "first_hash")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of docs, all columns, for each group of near_duplicates: that of the smallest doc_id.
+    """One row of docs, all columns, for each group of near_duplicates: one of the smallest doc_id.
 
-    Rows that share that doc_id and stand in the group with equal texts are one: the first of them stays.
+    Rows go by doc_id and text, so others of the same doc_id, null or not, stay if their own group keeps them.
+    Of rows in a group that share its smallest doc_id, one stays.
     """
-    near = near_duplicates(docs, words, similarity)
-    gone = near.where("not (doc_id <=> first)").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    if near.where("doc_id <=> first").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    near = _groups(docs, words, similarity)
+    stays = F.expr("doc_id <=> first and hash = first_hash")
+    gone = near.where(~stays).select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__hash")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (_text_hash() == F.col("__hash")), "left_anti")
+    if near.where(stays).groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
-    return kept.withColumn("__text", F.translate(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), string.ascii_uppercase, string.ascii_lowercase)).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return kept.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": _text_hash()}).dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

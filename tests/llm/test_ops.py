@@ -149,6 +149,13 @@ def test_near_copies_that_repeat_a_line(spark):
     assert sum(r["first"] == r["doc_id"] - 1 for r in got if r["doc_id"] % 2) >= 19
 
 
+def test_only_the_copy_goes(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(1, a), (None, a), (None, b), (2, a), (2, c), (None, d), (None, d + " more"), (3, a + " x"), (3, "own")]
+    kept = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:2]) for r in kept) == [(0, "b0"), (0, "d0"), (1, "a0"), (2, "c0"), (3, "ow")]
+
+
 def brute_repeats(rows, length=20):
     words = [((r[0] if r[0] is not None else 1 << 62), (r[1] or "").encode().split()) for r in rows]
     starts, first = [], {}
