@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import insort
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from driftframe.llm.shared import read, tuned
 
 #: Word features are hashed to so many weights.
 FEATURES = 1 << 18
-#: At most so many labelled documents (those of least hash) are learnt from, and so many
-#: words of them in all are held on the driver.
+#: At most so many labelled documents are learnt from, and so many words of them in all, which
+#: the driver holds: both those of least hash.
 SAMPLE, SAMPLE_WORDS = 8000, 8_000_000
 #: A word has a weight if its share of toxic documents differs from that of others by so many
 #: standard errors, and if so many documents have it.
@@ -44,7 +45,7 @@ def feature(word: str) -> int:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int):
-    """Bags of feature numbers and the label, of at most sample labelled documents."""
+    """Bags of feature numbers, the label and the hash, of at most sample labelled documents, in no order."""
     named = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null")
     named = named.groupBy("id").agg(F.max("toxic").alias("toxic")).where("pmod(crc32(cast(id as string)), 5) <> 0")
     chosen = named.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -54,25 +55,38 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int):
             rows = [sentence_words(t) for t in b.column(2).to_pylist()]
             words = [np.array([feature(w) for s in x for w in s[2]], "<i4").tobytes() for x in rows]
             lengths = [np.array([len(s[2]) for s in x], "<i4").tobytes() for x in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary()), pa.array(lengths, pa.binary())], ["id", "toxic", "words", "lengths"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary()), pa.array(lengths, pa.binary()), b.column(3)], ["id", "toxic", "words", "lengths", "hash"])
 
     # chosen has at most sample rows of two numbers: small enough to broadcast at any size
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    return rows.select("id", "toxic", "text").mapInArrow(bags, "id long, toxic int, words binary, lengths binary").toLocalIterator()
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    return rows.select("id", "toxic", "text", F.xxhash64("id").alias("hash")).mapInArrow(bags, "id long, toxic int, words binary, lengths binary, hash long").toLocalIterator()
+
+
+def _within(rows, words: int) -> list[tuple]:
+    """Bags (hash, id, words, label, lengths) in order up to the first that exceeds so many words in all, whatever order rows
+    come in; a document of more words by itself is passed over."""
+    held, total, cut = [], 0, None
+    for r in rows:
+        bag = (r["hash"], r["id"], bytes(r["words"]), r["toxic"], bytes(r["lengths"]))
+        if not bag[4] or len(bag[2]) > 4 * words or (cut and bag > cut):
+            continue
+        insort(held, bag)
+        total += len(bag[2])
+        while total > 4 * words:
+            cut = held.pop()
+            total -= len(cut[2])
+    return held
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = SAMPLE_WORDS) -> tuple[np.ndarray, float]:
     """Weights of the features and the bias, by Adagrad on the documents' noisy-or log loss.
 
     Learns from labels (doc_id, toxic) of documents whose crc32(doc_id) mod 5 is not 0; a
     doc_id labelled twice is toxic if any label says so. Without labels every weight is 0.
+    In the order of the doc_id's hash, at most sample labelled doc_ids are taken, and of their
+    documents those up to words words in all; how files and partitions divide them doesn't matter.
     """
-    bags, words = [], 0
-    for r in _sample(docs, labels, sample):
-        w, n = np.frombuffer(r["words"], "<i4"), np.frombuffer(r["lengths"], "<i4")
-        if len(n) and words + len(w) <= SAMPLE_WORDS:
-            bags.append((r["id"], r["toxic"], w, n))
-            words += len(w)
+    bags = [(i, y, np.frombuffer(w, "<i4"), np.frombuffer(n, "<i4")) for _, i, w, y, n in _within(_sample(docs, labels, sample), words)]
     weights, bias = np.zeros(FEATURES), BIAS
     if not bags:
         return weights, bias

@@ -264,6 +264,16 @@ def test_toxicity(spark, docs, empty):
     assert [r["score"] for r in toxicity.scored(docs, labels.limit(0)).where("text is null or text = ''").collect()] == [0.0, 0.0]
 
 
+def test_word_budget_does_not_depend_on_layout(spark):
+    rows = [(i, " ".join(f"bad{i % 3}" if i % 3 else f"w{j}" for j in range(5 + i % 7))) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, toxic int")
+    models = [toxicity.train(spark.createDataFrame(r, "doc_id long, text string").coalesce(1), labels, words=300) for r in (rows, rows[::-1])]
+    assert models[0][1] == models[1][1] and (models[0][0] == models[1][0]).all()
+    bags = [{"hash": i % 5, "id": i, "words": bytes(4 * (1 + i)), "toxic": 0, "lengths": b"1"} for i in range(12)]
+    held = [toxicity._within(r, 25) for r in (bags, bags[::-1], bags[6:] + bags[:6])]
+    assert held[0] == held[1] == held[2] and [b[1] for b in held[0]] == [0, 5, 10, 1]
+
+
 def test_mixing(docs, empty):
     rows = mixing.measured(docs, ["doc_id"])
     found = mixing.mixed(rows, mixing.plan(rows)).toPandas()
