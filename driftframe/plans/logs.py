@@ -1,38 +1,59 @@
-"""Queries on a small log made here: its bytes are decoded as any other's."""
+"""Queries on logs made here of the suppliers: their bytes are decoded as any others'."""
 
 from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe.operators.logs import Log
 from driftframe.sources import siglog, wire
 
+#: A log holds the suppliers of so many keys.
+KEYS = 10_000
+
 
 def record(header: int, timestamp: int, delta: bytes) -> bytes:
     code = wire.DLC_LENGTHS.index(len(delta))
     return struct.pack("<I", header) + timestamp.to_bytes(5, "little") + bytes([code << 4]) + delta
 
 
-def sample_log(events: list[tuple[int, float]]) -> bytes:
+def sample_log(events: list[tuple[int, float]], book: wire.Codebook | None = None) -> bytes:
     """A signal x in V that takes the values at the times of events."""
     name, units, data = 0xE1101001, 0xE2101001, 0xE0108001
     out, last = record(name, 0, b"x") + record(units, 0, b"V"), bytes(8)
     for t, v in events:
         now = struct.pack("<d", v)
         out, last = out + record(data, t, bytes((a - b) & 0xFF for a, b in zip(now, last))), now
-    return wire.make_header() + wire.codebook().encode(out)
+    return wire.make_header() + (book or wire.codebook()).encode(out)
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> bytes:
+    """A log of 50 suppliers, as log_wide's SQL has them."""
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").orderBy("s_suppkey").select("s_suppkey", "s_acctbal").limit(50).collect()
     return sample_log([(int(r[0]) * 1000, float(r[1])) for r in rows])
 
 
+def logs_of_suppliers(spark: SparkSession, sf_dir: str, keys: int | None = None) -> DataFrame:
+    """(path, content): all suppliers, as one log for each range of so many keys."""
+    words = siglog.code_words()
+    event = F.struct((F.col("s_suppkey").cast("long") * 1000).alias("t"), F.col("s_acctbal").cast("double").alias("v"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").groupBy(F.expr(f"s_suppkey div {keys or KEYS}").alias("part"))
+    rows = rows.agg(F.sort_array(F.collect_list(event)).alias("events"))  # at most so many of a part
+
+    def run(batches):
+        book = wire.Codebook(words)
+        for b in batches:
+            content = [sample_log([(e["t"], e["v"]) for e in events], book) for events in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary())], ["path", "content"])
+
+    return rows.select(F.concat(F.lit("suppliers-"), F.col("part").cast("string")).alias("path"), "events").mapInArrow(run, "path string, content binary")
+
+
 def log_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return siglog.from_bytes(spark, _raw(spark, sf_dir)).select("decoded_offset", "header", "record_class", "timestamp_us", F.lower(F.hex("payload")).alias("payload"))
+    return siglog.decode(logs_of_suppliers(spark, sf_dir)).select("decoded_offset", "header", "record_class", "timestamp_us", F.lower(F.hex("payload")).alias("payload"))
 
 
 def log_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +61,7 @@ def log_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Log(siglog.from_bytes(spark, _raw(spark, sf_dir))).signals()
+    return Log(siglog.decode(logs_of_suppliers(spark, sf_dir))).signals().distinct()  # all logs have the same
 
 
 def queries() -> dict:

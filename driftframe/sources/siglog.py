@@ -97,9 +97,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LogSource)
 
 
+def code_words(codebook: str = "") -> str:
+    """The codebook as text that tasks can take along: executors have no codebook file."""
+    return " ".join(f"{s:02x}:{b}" if s < 256 else f"EOS:{b}" for s, b in wire.codebook(codebook).words.items())
+
+
 def decode(files: DataFrame, view: str = "frames", tail: str = "strict", codebook: str = "") -> DataFrame:
     """The view of logs given as rows (path, content), one task's rows a log at a time."""
-    words = " ".join(f"{s:02x}:{b}" if s < 256 else f"EOS:{b}" for s, b in wire.codebook(codebook).words.items())  # executors have no codebook file
+    words = code_words(codebook)
     files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     import re
 

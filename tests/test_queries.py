@@ -1,12 +1,14 @@
 """Every registered query outside the corpus operators against its SQL, and the log operators on a golden log."""
 
+import struct
+
 import duckdb
 import pytest
 
 from driftframe import errors
 from driftframe.operators import tables as tb
 from driftframe.operators.logs import Log
-from driftframe.plans import registry
+from driftframe.plans import logs, registry
 from driftframe.sources import siglog
 from driftframe.streaming.resequence import Buffer
 
@@ -49,6 +51,17 @@ def test_golden_tables(spark):
             log.wide(bad)
 
 
+@pytest.mark.parametrize("keys", [30, 10_000])
+def test_logs_hold_the_whole_table(spark, monkeypatch, keys):
+    monkeypatch.setattr(logs, "KEYS", keys)
+    d = "/root/testdata/sf0.01"
+    want = sorted((r["s_suppkey"] * 1000, float(r["s_acctbal"])) for r in spark.read.parquet(f"{d}/supplier.parquet").collect())
+    rows = [r for r in logs.log_frames(spark, d).collect() if r["header"] == 0xE0108001]
+    got = sorted((r["timestamp_us"] // 1000 * 1000, struct.unpack("<d", bytes.fromhex(r["payload"]))[0]) for r in rows)
+    assert len(want) == 100 and got == want
+    assert [r["name"] for r in logs.log_signals(spark, d).collect()] == ["x"]
+
+
 def test_names():
     with pytest.raises(errors.SchemaError):
         tb.check_names(["timestamp"])
