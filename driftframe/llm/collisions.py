@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import partitions, read, tuned
+from driftframe.llm.shared import partitions, read
 from driftframe.llm.vectors import batch_arrays, best, ranked, usable
 
 #: Projections; share of them in which a candidate collides; share of a block that is verified at least;
@@ -110,4 +110,4 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, block: int = BLOCK) -
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(read(tuned(spark), sf_dir, "embeddings"))
+    return nearest(read(spark, sf_dir, "embeddings"))

@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import mix64, read, tuned
+from driftframe.llm.shared import mix64, read, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, TEMPERATURE = 42, 0.5
@@ -303,7 +303,7 @@ def encoded(docs: DataFrame, model: str = MODEL, temperature: float = TEMPERATUR
 
     def run(batches):
         pieces = _loaded(proto.value, temperature)
-        for b in batches:
+        for b in sliced(batches):
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             ids = pieces.encode(texts, row_keys(doc_ids, texts, seed)) if texts else []
             sums = [hashlib.sha256(pieces.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
@@ -333,7 +333,7 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         pieces = _loaded(proto.value, TEMPERATURE)
-        for b in batches:
+        for b in sliced(batches):
             texts = [None if x is None else pieces.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -341,4 +341,4 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(read(tuned(spark), sf_dir, "documents"))
+    return encoded(read(spark, sf_dir, "documents"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import partitions, read, saved, tuned
+from driftframe.llm.shared import partitions, read, saved
 from driftframe.llm.vectors import batch_arrays, best, packed, ranked, unpacked, usable
 
 #: Pivots, chosen from a sample of at most so many vectors (those of least hash); vectors of a slice.
@@ -167,7 +167,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, sample: int = SAMPLE, sl
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(read(tuned(spark), sf_dir, "embeddings"))
+    return top_k(read(spark, sf_dir, "embeddings"))
 
 
 OP3_SQL = """

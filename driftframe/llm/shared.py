@@ -2,44 +2,81 @@
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Texts go to Python in batches of at most so many rows and bytes.
+#: Texts are worked on so many rows and bytes at a time, whatever the size of Spark's Arrow batches.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: A task that gathers packed records holds about so many bytes of them.
+TASK_BYTES = 64 << 20
+#: The paths saved() wrote since each result() that is still at work.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or "/tmp/driftframe-shared").rstrip("/")
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; only a local session may do without."""
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return found.rstrip("/")
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return "/tmp/driftframe-shared"  # driver and executors are one process
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/driftframe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/driftframe/{name}-{uuid.uuid4().hex}"
+    if made := _MADE.get():
+        made[-1].append(path)
+    return path
 
 
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def saved(df: DataFrame, name: str = "table", schema: StructType | None = None) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there and outlives lost executors."""
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+
 
+def result(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, saved; tables that make() saved on its way are deleted then."""
+    token = _MADE.set((*_MADE.get(), made := []))
+    try:
+        df = make()
+        path = f"{shared_dir(spark)}/driftframe/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+    finally:
+        _MADE.reset(token)
+        for old in made:
+            delete(spark, old)
+    if outer := _MADE.get():
+        outer[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """Bounds what one Arrow batch of texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of at most about BATCH_ROWS rows and BATCH_BYTES bytes."""
+    for b in batches:
+        step = max(1, min(BATCH_ROWS, int(b.num_rows * BATCH_BYTES / max(b.nbytes, 1))))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+def partitions(spark: SparkSession, nbytes: float = 0) -> int:
+    """To how many tasks packed records of nbytes in all are dealt: the session's number, or more for more bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(nbytes / TASK_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -98,21 +135,28 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b), both long: component is the smallest node reachable.
 
     Alternating large-star and small-star steps, each an aggregation and a join on
-    the node, so a node with very many links is only a skewed join side. Every round
-    is written to the shared folder. Self-links and repeats are harmless; no edges give no rows.
+    the node, so a node with very many links is only a skewed join side. Every round is
+    written to the shared folder, and the table of the round before is deleted. Joins are never broadcast: links grow with the
+    data. Self-links and repeats are harmless; no edges give no rows.
     """
     spark = edges.sparkSession
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    before = state(now)
+
+    def written(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+        path = table_path(spark, "edges")
+        df.write.parquet(path)
+        out = spark.read.schema("u long, v long").parquet(path)
+        return out, path, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+    now, path, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while before[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        now = saved(small.where("u <> v").distinct(), "edges")
-        after = state(now)
+        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        old = path
+        now, path, after = written(small.where("u <> v").distinct())
+        delete(spark, old)
         if after == before:
             break
         before = after

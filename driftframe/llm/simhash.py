@@ -13,10 +13,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import components, dealt, forest, gathered, mix64, partitions, read, saved, tuned
+from driftframe.llm.shared import components, dealt, forest, gathered, mix64, partitions, read, saved, sliced
 
 #: Variants that more fingerprints share are indexed again, not compared pairwise.
 CROWD = 256
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) for each row: fp the 64 bits of the fingerprint as a signed long; 0 for null or empty texts."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -97,9 +97,9 @@ def fingerprint_links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     links, width = None, 64
     rows = fps.select(F.lit(0).cast("long").alias("key"), "fp", F.col("fp").alias("rest"))
     while True:
-        made = _variants(rows, width)
-        counts = made.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = saved(made.join(counts, "key"), "variants")
+        # counted in the one exchange by key; a hot key's rows spill, none are held in memory together
+        made = _variants(rows, width).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+        shared = saved(made.where("n > 1"), "variants")
         width //= 2
         last = width <= 8
         small = shared if last else shared.where(F.col("n") <= crowd)
@@ -136,23 +136,31 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
 # a one-wildcard variant of a segment is compared by the whole fingerprint; what is near
 # enough there is verified by the shingles themselves.
 #
-# A round sends, for each fingerprint of a variant, its closest candidates and the first one; which
-# fingerprints have more of them is sent too. These alone meet again in the next round, where candidates
-# that links already connect don't count and MORE times as many are sent, until none has more. So large groups
-# of copies need few pairs, and no candidate is left out but between texts already connected.
+# In the first round a fingerprint is verified with KEPT candidates over all its variants: the closest ones and the
+# one of least number, so that large groups of copies mostly hang together after a few pairs for each.
+# Fingerprints with more candidates meet again in the next rounds, where candidates
+# that links already connect don't count and MORE times as many of each variant are sent, until none has more. So
+# no candidate is left out but between texts already connected.
 #
 # From the second round on, candidates are verified in cells: fingerprints that the first round's candidates
 # connect are divided into blocks, a cell holds the candidates between two blocks, and a set of shingles is
 # sent once to each cell that needs it, not once for each of its candidates.
-SEGMENTS, SEGMENT_BITS, NEAR_BITS, SAME_BITS, MORE = 8, 16, 28, 16, 16
+#
+# A variant of more than HOT fingerprints is divided: in the first round into blocks of about HOT, of which each looks at
+# itself alone (all of it may have more); later into one run for each two blocks, which together hold all pairs.
+SEGMENTS, SEGMENT_BITS, NEAR_BITS, SAME_BITS, MORE, KEPT = 8, 16, 28, 16, 16, 4
+#: A variant of more fingerprints is hot; a task counts only variants that it holds so many of itself.
+HOT, SEEN = 4096, 64
 #: A block has about so many fingerprints, or so many bytes of shingles, at most.
 BLOCK_NODES, BLOCK_BYTES = 512, 4 << 20
 #: Variants of more fingerprints are compared by way of heads, each for all fingerprints nearly equal to it.
 LARGE = 512
-_ENTRY = np.dtype([("k", "<u4"), ("f", "<u8", 2)])
+#: Variants are numbered below this; runs of a divided one from here on.
+VARIANTS = SEGMENTS * SEGMENT_BITS << SEGMENT_BITS
 _FIRST = np.dtype([("k", "<u4"), ("f", "<u8", 2), ("s", "<i8")])  # with the hash of the set of shingles
 _NAMED = np.dtype([("k", "<u4"), ("f", "<u8", 2), ("s", "<i8"), ("c", "<i8"), ("block", "<i8")])  # with what the fingerprint is connected to, and its block
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
+_APART = np.dtype([("a", "<i8"), ("b", "<i8"), ("d", "u1")])
 _IN_CELL = np.dtype([("cell", "<i8"), ("a", "<i8"), ("b", "<i8")])
 
 
@@ -180,29 +188,82 @@ def _nodes(f: np.ndarray, s: np.ndarray | int = 0) -> np.ndarray:
 
 
 def _wide_fingerprints(words: int):
+    """(doc_id, node, f0, f1, s, hash, set) of each text; set: 32 bits of each distinct shingle's hash, in order."""
+
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             raws = [_digests(shingle_slices(t or "", words)) for t in b.column(1).to_pylist()]
             f = np.array([_majority(r) for r in raws], np.uint64).reshape(-1, 2)
             s = np.array([_set_hash(r) for r in raws], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_nodes(f, s)), *(pa.array(f[:, i].copy().view(np.int64)) for i in (0, 1)), pa.array(s), b.column(2)], ["doc_id", "node", "f0", "f1", "s", "hash"])
+            sets = pa.array([np.unique((r[:, 0] >> np.uint64(32)).astype("<u4")).tobytes() for r in raws], pa.binary())
+            cols = [b.column(0), pa.array(_nodes(f, s)), *(pa.array(f[:, i].copy().view(np.int64)) for i in (0, 1)), pa.array(s), b.column(2), sets]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "f0", "f1", "s", "hash", "set"])
 
     return run
 
 
-def _segment_variants(targets: int, entry: np.dtype):
+def _variant_keys(f: np.ndarray, s: int) -> np.ndarray:
+    """The SEGMENT_BITS one-wildcard variants of segment s of each fingerprint: variants by fingerprints."""
+    bits = (f[:, s // 4] >> np.uint64(SEGMENT_BITS * (s % 4))) & np.uint64(0xFFFF)
+    p = np.arange(SEGMENT_BITS, dtype=np.uint64)[:, None]
+    return (bits[None] & (np.uint64(0xFFFF) ^ (np.uint64(1) << p)) | ((np.uint64(s * SEGMENT_BITS) + p) << np.uint64(SEGMENT_BITS))).astype(np.uint32)
+
+
+def _variant_counts(least: int):
+    """(k, n) of the variants that this task holds so many of."""
+
     def run(batches):
+        counts = np.zeros(VARIANTS, np.int32)
         for b in batches:
             f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in (0, 1)], axis=1)
             for s in range(SEGMENTS):
-                bits = (f[:, s // 4] >> np.uint64(SEGMENT_BITS * (s % 4))) & np.uint64(0xFFFF)
+                k, n = np.unique(_variant_keys(f, s), return_counts=True)
+                counts[k] += n.astype(np.int32)
+        k = np.flatnonzero(counts >= least)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(counts[k].astype(np.int64))], ["k", "n"])
+
+    return run
+
+
+def _hot_blocks(classes: DataFrame) -> np.ndarray | None:
+    """Into how many blocks each variant is divided (VARIANTS numbers: a fixed size), or None if all are whole."""
+    counts = classes.select("f0", "f1").mapInArrow(_variant_counts(SEEN), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") > HOT).toArrow()  # one row for each variant at most
+    if not found.num_rows:
+        return None
+    blocks = np.ones(VARIANTS, np.uint16)
+    blocks[found["k"].to_numpy()] = np.minimum(-(-found["n"].to_numpy() // HOT), 65535)
+    return blocks
+
+
+def _segment_variants(targets: int, entry: np.dtype, blocks):
+    """rows (f0, f1, s, what else entry has) once for each variant, dealt by it; blocks: None or a broadcast of _hot_blocks."""
+    whole = entry is _FIRST
+
+    def run_of(k: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        # two runs that get one number are compared together: more work, not other results
+        h = mix64(mix64(k.astype(np.uint64) << np.uint64(16) | i.astype(np.uint64)) + j.astype(np.uint64))
+        return (np.uint64(VARIANTS) + h % np.uint64((1 << 32) - VARIANTS)).astype(np.uint32)
+
+    def run(batches):
+        for b in sliced(batches):
+            f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in (0, 1)], axis=1)
+            own = _nodes(f, b.column(2).to_numpy()).view(np.uint64)
+            for s in range(SEGMENTS):
                 rows = np.zeros((SEGMENT_BITS, len(f)), entry)
+                rows["k"], rows["f"] = _variant_keys(f, s), f
                 for i, name in enumerate(entry.names[2:]):  # s and what follows
                     rows[name] = b.column(2 + i).to_numpy()
-                for p in range(SEGMENT_BITS):
-                    rows["k"][p] = (bits & np.uint64(0xFFFF ^ (1 << p))) | np.uint64((s * SEGMENT_BITS + p) << SEGMENT_BITS)
-                    rows["f"][p] = f
                 rows = rows.ravel()
+                if blocks is not None and (hot := blocks.value[rows["k"]] > 1).any():
+                    cut = rows[hot]
+                    n = blocks.value[cut["k"]].astype(np.int64)
+                    i = (np.tile(own, SEGMENT_BITS)[hot] % n.astype(np.uint64)).astype(np.int64)
+                    j = i if whole else np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    if not whole:
+                        cut, i = np.repeat(cut, n), np.repeat(i, n)
+                    cut["k"] = run_of(cut["k"], np.minimum(i, j), np.maximum(i, j))
+                    rows = np.concatenate([rows[~hot], cut])
                 if out := dealt((mix64(rows["k"].astype(np.uint64)) % np.uint64(targets)).astype(np.int64), rows):
                     yield out
 
@@ -236,35 +297,31 @@ def _to_heads(f: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
 
 def _to_members(f: np.ndarray, c: np.ndarray, each: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For a large run: (i, j, distance) of at least each fingerprint's closest and first near ones not connected to it,
-    and which have more."""
-    rest, found, n = np.arange(len(f)), [np.zeros((3, 0), np.int64)], np.zeros(len(f), np.int64)
-    while len(rest):
-        apart = _distance(f, f[rest[0]])
-        members, rest = rest[apart[rest] <= SAME_BITS], rest[apart[rest] > SAME_BITS]
-        reach = np.flatnonzero(apart <= NEAR_BITS + SAME_BITS)
-        names, many = np.unique(c[members], return_counts=True)
-        most = names[many.argmax()]
-        for left, right in ((reach[c[reach] != most], members), (reach[c[reach] == most], members[c[members] != most])):
-            if not len(right):
-                continue
-            for at in np.split(left, range(rows := max(1, (1 << 20) // len(right)), len(left), rows)):
-                d = _distance(f[at][:, None], f[right][None])
-                near = (d <= NEAR_BITS) & (c[at][:, None] != c[right][None])
-                n[at] += near.sum(axis=1)
-                d[~near] = NEAR_BITS + 1
-                closest = np.argsort(d, axis=1, kind="stable")[:, :each]
-                some = near.any(axis=1)
-                x = np.concatenate([np.repeat(np.arange(len(at)), closest.shape[1]), np.flatnonzero(some)])
-                y = np.concatenate([closest.ravel(), near.argmax(axis=1)[some]])
-                x, y = x[near[x, y]], y[near[x, y]]
-                found.append(np.stack([at[x], right[y], d[x, y]]))
+    and which have more. What is connected to most of the run is never compared with itself."""
+    found, n = [np.zeros((3, 0), np.int64)], np.zeros(len(f), np.int64)
+    names, many = np.unique(c, return_counts=True)
+    rest, body = np.flatnonzero(c != names[many.argmax()]), np.flatnonzero(c == names[many.argmax()])
+    for left, right in ((rest, np.arange(len(f))), (body, rest)):
+        if not len(right):
+            continue
+        for at in np.split(left, range(rows := max(1, (1 << 20) // len(right)), len(left), rows)):
+            d = _distance(f[at][:, None], f[right][None])
+            near = (d <= NEAR_BITS) & (c[at][:, None] != c[right][None])
+            n[at] += near.sum(axis=1)
+            d[~near] = NEAR_BITS + 1
+            closest = np.argsort(d, axis=1, kind="stable")[:, :each]
+            some = near.any(axis=1)
+            x = np.concatenate([np.repeat(np.arange(len(at)), closest.shape[1]), np.flatnonzero(some)])
+            y = np.concatenate([closest.ravel(), near.argmax(axis=1)[some]])
+            x, y = x[near[x, y]], y[near[x, y]]
+            found.append(np.stack([at[x], right[y], d[x, y]]))
     return list(np.concatenate(found, axis=1)), n > each
 
 
-def _near_pairs(rows: np.ndarray, each: int) -> np.ndarray:
-    """Candidates: in each run, of each fingerprint with its closest near ones, as many as each, and with the first.
+def _near(rows: np.ndarray, each: int, large: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, near node, distance): in each run, of each fingerprint its closest near ones, as many as each, and the first.
 
-    Near ones connected already don't count. A pair of a node with itself says that it may have more.
+    Near ones connected already don't count. The second result has the nodes that may have more.
     """
     s = rows["s"] if "s" in rows.dtype.names else np.zeros(len(rows), np.int64)
     order = np.lexsort((s, rows["f"][:, 1], rows["f"][:, 0], rows["k"]))  # whatever order they came in
@@ -273,11 +330,11 @@ def _near_pairs(rows: np.ndarray, each: int) -> np.ndarray:
     c, found, more = rows["c"] if "c" in rows.dtype.names else None, [np.zeros((3, 0), np.int64)], np.zeros(len(rows), bool)
     begin = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
     size = np.diff(begin)
-    for r in np.flatnonzero(size > LARGE):
+    for r in np.flatnonzero(size > large):
         own = slice(begin[r], begin[r + 1])
         (i, j, d), more[own] = _to_heads(f[own]) if c is None else _to_members(f[own], c[own], each)
         found.append(np.stack([i + begin[r], j + begin[r], d]))
-    at = np.flatnonzero(np.repeat(size, size) <= LARGE)
+    at = np.flatnonzero(np.repeat(size, size) <= large)
     step = 1
     while len(at):
         at = at[at + step < len(k)]
@@ -299,35 +356,61 @@ def _near_pairs(rows: np.ndarray, each: int) -> np.ndarray:
     rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
     chosen[order[rank < each]] = True
     more[i[~chosen]] = True
-    pairs = np.stack([node[i[chosen]], node[j[chosen]]], axis=1)
-    pairs = np.concatenate([np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), np.repeat(node[more][:, None], 2, axis=1)])
-    pairs = np.unique(pairs, axis=0)
-    out = np.empty(len(pairs), _PAIR)
-    out["a"], out["b"] = pairs[:, 0], pairs[:, 1]
-    return out
+    if c is None:
+        more |= k >= VARIANTS  # a part of a run: the other parts were not looked at
+    out = np.empty(chosen.sum(), _APART)
+    out["a"], out["b"], out["d"] = node[i[chosen]], node[j[chosen]], d[chosen]
+    return np.unique(out[out["a"] != out["b"]]), np.unique(node[more])
+
+
+def _near_pairs(rows: np.ndarray, each: int, large: int = LARGE) -> np.ndarray:
+    """The same as distinct pairs a < b; a pair of a node with itself says that it may have more."""
+    found, more = _near(rows, each, large)
+    out = np.empty(len(found) + len(more), _PAIR)
+    out["a"], out["b"] = np.concatenate([np.minimum(found["a"], found["b"]), more]), np.concatenate([np.maximum(found["a"], found["b"]), more])
+    return np.unique(out)
 
 
-def _packed_pairs(targets: int):
+def _packed_first(targets: int, large: int):
     def run(batches):
         rows = gathered(batches, _FIRST)
         if len(rows):
-            pairs = _near_pairs(rows, 1)
-            if out := dealt((mix64(pairs["a"].view(np.uint64)) % np.uint64(targets)).astype(np.int64), pairs):
+            found, more = _near(rows, 1, large)
+            same = np.empty(len(more), _APART)
+            same["a"], same["b"], same["d"] = more, more, 255
+            found = np.concatenate([found, same])
+            if out := dealt((mix64(found["a"].view(np.uint64)) % np.uint64(targets)).astype(np.int64), found):
                 yield out
 
     return run
 
 
-def _distinct_pairs(batches):
-    pairs = np.unique(gathered(batches, _PAIR))
+def _chosen(found: np.ndarray) -> np.ndarray:
+    """Pairs a < b: of all that a node's variants found its KEPT - 1 closest and the least; (a, a) if there may be more."""
+    found = np.unique(found)
+    same, found = found["a"][found["a"] == found["b"]], found[found["a"] != found["b"]]
+    first = np.diff(found["a"], prepend=found["a"][:1] - 1) != 0  # in the order of a, then b
+    order = np.lexsort((found["b"], found["d"], found["a"]))
+    starts = np.flatnonzero(first)
+    kept = first.copy()
+    kept[order[np.arange(len(found)) - np.repeat(starts, np.diff(np.append(starts, len(found)))) < KEPT - 1]] = True
+    more = np.unique(np.concatenate([same, found["a"][~kept]]))
+    found = found[kept]
+    out = np.empty(len(found) + len(more), _PAIR)
+    out["a"], out["b"] = np.concatenate([np.minimum(found["a"], found["b"]), more]), np.concatenate([np.maximum(found["a"], found["b"]), more])
+    return np.unique(out)
+
+
+def _first_pairs(batches):
+    pairs = _chosen(gathered(batches, _APART))
     yield pa.RecordBatch.from_arrays([pa.array(pairs["a"].copy()), pa.array(pairs["b"].copy())], ["a", "b"])
 
 
-def _packed_cells(targets: int, each: int):
+def _packed_cells(targets: int, each: int, large: int):
     def run(batches):
         rows = gathered(batches, _NAMED)
         if len(rows):
-            pairs = _near_pairs(rows, each)
+            pairs = _near_pairs(rows, each, large)
             node, one = np.unique(_nodes(rows["f"], rows["s"]), return_index=True)
             low, high = np.sort([rows["block"][one][np.searchsorted(node, pairs[x])] for x in "ab"], axis=0).view(np.uint64)
             out = np.empty(len(pairs), _IN_CELL)
@@ -354,19 +437,6 @@ def _cell_rows(batches):
     yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.array(more.copy()), pa.nulls(len(more), pa.binary())], ["cell", "node", "pairs"])
 
 
-def _shingle_sets(words: int):
-    def run(batches):
-        for b in batches:
-            sets = []
-            for t in b.column(1).to_pylist():
-                raw = _digests(shingle_slices(t or "", words))
-                s = np.array([_set_hash(raw)], np.uint64).view(np.int64)
-                sets.append((int(_nodes(np.array([_majority(raw)], np.uint64), s)[0]), np.unique((raw[:, 0] >> np.uint64(32)).astype("<u4")).tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], ["id", "node", "set"])
-
-    return run
-
-
 def _alike(x: bytes, y: bytes, similarity: float) -> bool:
     x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
     if min(len(x), len(y)) < similarity * max(len(x), len(y)):
@@ -377,7 +447,7 @@ def _alike(x: bytes, y: bytes, similarity: float) -> bool:
 
 def _similar(similarity: float):
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             keep = pa.array([_alike(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
@@ -425,11 +495,11 @@ def _similar_in_cells(similarity: float):
     return run
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
+def _first_candidates(rows: DataFrame, n: int, blocks) -> DataFrame:
     """The first round's distinct pairs (a, b) of nodes, a < b, and (a, a) for nodes that may have more; rows: f0, f1, s."""
-    n, packed = partitions(rows.sparkSession), "target int, blob binary"
-    pairs = rows.mapInArrow(_segment_variants(n, _FIRST), packed).repartition(n, "target").mapInArrow(_packed_pairs(n), packed)
-    return saved(pairs.repartition(n, "target").mapInArrow(_distinct_pairs, "a long, b long"), "pairs")
+    packed = "target int, blob binary"
+    pairs = rows.mapInArrow(_segment_variants(n, _FIRST, blocks), packed).repartition(n, "target").mapInArrow(_packed_first(n, LARGE), packed)
+    return saved(pairs.repartition(n, "target").mapInArrow(_first_pairs, "a long, b long").distinct(), "pairs")
 
 
 def _blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -442,10 +512,10 @@ def _blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return saved(own.join(sizes, "cluster").select("node", F.expr("xxhash64(cluster, pmod(xxhash64(node), blocks))").alias("block")), "blocks")
 
 
-def _cells(rows: DataFrame, each: int) -> DataFrame:
+def _cells(rows: DataFrame, each: int, n: int, blocks) -> DataFrame:
     """A later round's candidates as _cell_rows says; rows: f0, f1, s, component, block."""
-    n, packed = partitions(rows.sparkSession), "target int, blob binary"
-    pairs = rows.mapInArrow(_segment_variants(n, _NAMED), packed).repartition(n, "target").mapInArrow(_packed_cells(n, each), packed)
+    packed = "target int, blob binary"
+    pairs = rows.mapInArrow(_segment_variants(n, _NAMED, blocks), packed).repartition(n, "target").mapInArrow(_packed_cells(n, each, LARGE), packed)
     return saved(pairs.repartition(n, "target").mapInArrow(_cell_rows, "cell long, node long, pairs binary"), "cells")
 
 
@@ -473,24 +543,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
 def _groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(doc_id, hash, first, first_hash) for each row: hash that of the text, first and first_hash those of one row of the group, of the smallest doc_id."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("hash"))
-    rows = saved(texts.mapInArrow(_wide_fingerprints(words), "doc_id long, node long, f0 long, f1 long, s long, hash long"), "fingerprints")
-    classes = saved(rows.groupBy("node", "f0", "f1", "s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")), "classes")
-    pairs, each = _candidates(classes.select("f0", "f1", "s")), 1
-    ends = pairs.select(F.col("a").alias("node")).distinct().unionAll(pairs.select(F.col("b").alias("node")).distinct())
-    wanted = ends.distinct().join(classes, "node").select(F.col("node").alias("of"), F.col("least.doc_id").alias("by"))
-    sets = texts.mapInArrow(_shingle_sets(words), "id long, node long, set binary").join(wanted, F.expr("node = of and id <=> by"), "left_semi").groupBy("node").agg(F.first("set").alias("set"))
-    sets = saved(sets, "sets")
+    rows = saved(texts.mapInArrow(_wide_fingerprints(words), "doc_id long, node long, f0 long, f1 long, s long, hash long, set binary"), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
+    classes = saved(rows.groupBy("node", "f0", "f1", "s").agg(least), "classes")
+    n = partitions(spark, classes.count() * SEGMENTS * SEGMENT_BITS * _FIRST.itemsize)
+    blocks = None if (cut := _hot_blocks(classes)) is None else spark.sparkContext.broadcast(cut)
+    pairs, each = _first_candidates(classes.select("f0", "f1", "s"), n, blocks), 1
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.where("a < b").select(F.col("b").alias("node"))).distinct()
+    wanted = ends.join(classes, "node").select(F.col("node").alias("of"), "least.doc_id", "least.hash")
+    own = rows.select("doc_id", "hash", "node", "set").join(wanted.toDF("of", "by", "is"), F.expr("node = of and doc_id <=> by and hash = is"), "left_semi")
+    sets = saved(own.groupBy("node").agg(F.first("set").alias("set")), "sets")
     with_a = pairs.where("a < b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     links = saved(with_both.mapInArrow(_similar(similarity), "a long, b long"), "links")
     found, more = saved(components(links), "components"), pairs.where("a = b").select(F.col("a").alias("node"))
-    blocks = None if more.isEmpty() else _blocks(pairs, sets)
+    parts = None if more.isEmpty() else _blocks(pairs, sets)
     while not more.isEmpty():
         each *= MORE
-        again = classes.join(blocks, "node").join(more, "node", "left_semi").join(found, "node", "left")
-        cells = _cells(again.select("f0", "f1", "s", F.coalesce("component", "node").alias("component"), "block"), each)
-        links = links.unionAll(_cell_links(cells, sets, similarity))
+        again = classes.join(parts, "node").join(more, "node", "left_semi").join(found, "node", "left")
+        cells = _cells(again.select("f0", "f1", "s", F.coalesce("component", "node").alias("component"), "block"), each, n, blocks)
+        links = _cell_links(cells, sets, similarity).unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         found, more = saved(components(links), "components"), cells.where("cell is null").select("node")
     named = classes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     firsts = named.groupBy("component").agg(F.min("least").alias("first"))
@@ -514,5 +588,5 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float =
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_components(read(tuned(spark), sf_dir, "documents"))
+    found = simhash_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import dealt, gathered, mix64, partitions, read, tuned
+from driftframe.llm.shared import dealt, gathered, mix64, partitions, read, sliced
 
 #: Windows compared at once in a task.
 BLOCK_WORDS = 1 << 19
@@ -63,7 +63,7 @@ def anchors(half: np.ndarray, span: int) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
     """Rows of texts in blocks of about BLOCK_WORDS words; a longer text is a block of its own."""
     block, n = [], 0
-    for b in batches:
+    for b in sliced(batches):
         for row in zip(*(b.column(i).to_pylist() for i in range(columns))):
             block.append(row)
             n += 1 + len(row[2] or "") // 6
@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()
     others = [f.name for f in rows.drop("__blob").schema]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             n_words, n_removed, texts = [], [], []
             for text, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = split_words(text)
@@ -281,7 +281,7 @@ def without_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(read(tuned(spark), sf_dir, "documents"))
+    found = remove_repeats(read(spark, sf_dir, "documents"))
     doc_id = F.when(F.col("__did") != _NULL_ID, F.col("__did"))
     return found.select(doc_id.alias("doc_id"), F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
 

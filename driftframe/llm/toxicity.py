@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import read, tuned
+from driftframe.llm.shared import read, sliced
 
 #: Word features are hashed to so many weights.
 FEATURES = 1 << 18
@@ -51,7 +51,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int):
     chosen = named.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def bags(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [sentence_words(t) for t in b.column(2).to_pylist()]
             words = [np.array([feature(w) for s in x for w in s[2]], "<i4").tobytes() for x in rows]
             lengths = [np.array([len(s[2]) for s in x], "<i4").tobytes() for x in rows]
@@ -93,10 +93,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     bags.sort(key=lambda x: (x[0], x[2].tobytes()))
     y = np.array([b[1] for b in bags], float)
     flat, lengths = np.concatenate([b[2] for b in bags]), np.concatenate([b[3] for b in bags])
-    d_of_s = np.repeat(np.arange(len(bags)), [len(b[3]) for b in bags])
-    s_of_word = np.repeat(np.arange(len(lengths)), lengths)
-    has = np.unique(d_of_s[s_of_word] * FEATURES + flat)  # document and word, once each
-    of, toxic = np.bincount(has % FEATURES, minlength=FEATURES), np.bincount(has % FEATURES, y[has // FEATURES], FEATURES)
+    d_of_s = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b[3]) for b in bags])
+    s_of_word = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    of, toxic = np.zeros(FEATURES, np.int64), np.zeros(FEATURES)
+    for _, label, own, _ in bags:  # a word counts once for a document
+        own = np.unique(own)
+        of[own] += 1
+        toxic[own] += label
     n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
     pooled = (of + 1) / (len(y) + 2)
     z = (toxic / n1 - (of - toxic) / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
@@ -155,7 +158,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
     def run(batches):
         score = make()
-        for b in batches:
+        for b in sliced(batches):
             found = [score(t) for t in b.column(1).to_pylist()]
             spans = pa.array([[{"begin": x, "end": y, "score": z} for x, y, z in f[1]] for f in found], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.float64()), spans], ["doc_id", "text", "score", "offending"])
@@ -170,13 +173,13 @@ def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Dat
 
     def run(batches):
         score = make()
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([score(t)[0] < least for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, kept)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scored(read(tuned(spark), sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    found = scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))  # a null doc_id has no label
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")

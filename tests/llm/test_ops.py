@@ -89,8 +89,7 @@ def test_near_duplicates(spark, docs, empty):
 
 
 @pytest.mark.parametrize("large", [4, 512])
-def test_candidates_are_complete(monkeypatch, large):
-    monkeypatch.setattr(simhash, "LARGE", large)
+def test_candidates_are_complete(large):
     rng = np.random.default_rng(5)
     f = rng.integers(0, 1 << 63, (3, 2)).astype(np.uint64).repeat(30, axis=0)
     for i, bit in zip(np.arange(90).repeat(11), rng.integers(0, 128, 990)):
@@ -99,19 +98,23 @@ def test_candidates_are_complete(monkeypatch, large):
     want = {tuple(sorted((int(node[i]), int(node[j])))) for i, j in zip(*np.nonzero(near)) if i < j}
     rows = np.zeros(90, simhash._NAMED)
     rows["f"], rows["c"] = f, np.arange(90)
-    both = lambda r, each: {tuple(map(int, p)) for p in simhash._near_pairs(r, each)}
+    both = lambda r, each: {tuple(map(int, p)) for p in simhash._near_pairs(r, each, large)}
     assert both(rows, 90) - {(x, x) for x in node.tolist()} == want and len(want) > 800
-    for r in (rows, rows[["k", "f"]].astype(simhash._ENTRY)):  # whoever lacks a partner says that it may have more
+    plain = np.zeros(90, simhash._FIRST)
+    plain["f"] = f
+    for r in (rows, plain):  # whoever lacks a partner says that it may have more
         few = both(r, 1)
         assert len(few) < 300 and all((x, x) in few and (y, y) in few for x, y in want - few)
     rows["c"] = np.arange(90) // 30  # connected already
     assert not both(rows, 1)
 
 
-@pytest.mark.parametrize("large", [8, 512])
-def test_near_duplicates_of_large_groups(spark, monkeypatch, large):
-    """Copies at 0.8 or a little less of one another: what the closest ones don't connect, others do."""
+@pytest.mark.parametrize("large, hot", [(8, 4096), (512, 4096), (8, 9)])
+def test_near_duplicates_of_large_groups(spark, monkeypatch, large, hot):
+    """Copies at 0.8 or a little less of one another: what the closest ones don't connect, others do; variants of many are divided."""
     monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "SEEN", 2)
     rng, texts = np.random.default_rng(3), []
     for g in range(3):
         for k in range(40):
