@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import mix64, read, sliced
+from driftframe.llm.shared import bounded, mix64, read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, TEMPERATURE = 42, 0.5
@@ -303,7 +303,7 @@ def encoded(docs: DataFrame, model: str = MODEL, temperature: float = TEMPERATUR
 
     def run(batches):
         pieces = _loaded(proto.value, temperature)
-        for b in sliced(batches):
+        for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             ids = pieces.encode(texts, row_keys(doc_ids, texts, seed)) if texts else []
             sums = [hashlib.sha256(pieces.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
@@ -311,7 +311,7 @@ def encoded(docs: DataFrame, model: str = MODEL, temperature: float = TEMPERATUR
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes), pa.array(sums, pa.string())], ["doc_id", "ids", "n_pieces", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, decoded_sha256 string")
+    return bounded(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, decoded_sha256 string")
 
 
 _LOADED: dict = {}
@@ -333,11 +333,11 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         pieces = _loaded(proto.value, TEMPERATURE)
-        for b in sliced(batches):
+        for b in batches:
             texts = [None if x is None else pieces.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return bounded(rows.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Texts are worked on so many rows and bytes at a time, whatever the size of Spark's Arrow batches.
+#: Texts go to Python in batches of at most so many rows and about so many bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 #: A task that gathers packed records holds about so many bytes of them.
 TASK_BYTES = 64 << 20
@@ -66,12 +66,17 @@ def result(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in batches of at most about BATCH_ROWS rows and BATCH_BYTES bytes."""
-    for b in batches:
-        step = max(1, min(BATCH_ROWS, int(b.num_rows * BATCH_BYTES / max(b.nbytes, 1))))
-        for at in range(0, b.num_rows, step):
-            yield b.slice(at, step)
+def bounded(df: DataFrame) -> DataFrame:
+    """df in a copy of its session in which Python gets at most BATCH_ROWS rows or about BATCH_BYTES bytes at once.
+
+    The caller's session keeps its settings; what is derived from the result runs in the copy.
+    """
+    spark = df.sparkSession
+    copy = spark._jsparkSession.cloneSession()
+    copy.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    copy.conf().set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    moved = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy, df._jdf.logicalPlan())
+    return DataFrame(moved, SparkSession(spark.sparkContext, copy))
 
 
 def partitions(spark: SparkSession, nbytes: float = 0) -> int:

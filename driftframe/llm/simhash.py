@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import components, dealt, forest, gathered, mix64, partitions, read, saved, sliced
+from driftframe.llm.shared import bounded, components, dealt, forest, gathered, mix64, partitions, read, saved
 
 #: Variants that more fingerprints share are indexed again, not compared pairwise.
 CROWD = 256
@@ -47,11 +47,11 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) for each row: fp the 64 bits of the fingerprint as a signed long; 0 for null or empty texts."""
 
     def run(batches):
-        for b in sliced(batches):
+        for b in batches:
             fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def _variants(rows: DataFrame, width: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _wide_fingerprints(words: int):
     """(doc_id, node, f0, f1, s, hash, set) of each text; set: 32 bits of each distinct shingle's hash, in order."""
 
     def run(batches):
-        for b in sliced(batches):
+        for b in batches:
             raws = [_digests(shingle_slices(t or "", words)) for t in b.column(1).to_pylist()]
             f = np.array([_majority(r) for r in raws], np.uint64).reshape(-1, 2)
             s = np.array([_set_hash(r) for r in raws], np.uint64).view(np.int64)
@@ -246,7 +246,7 @@ def _segment_variants(targets: int, entry: np.dtype, blocks):
         return (np.uint64(VARIANTS) + h % np.uint64((1 << 32) - VARIANTS)).astype(np.uint32)
 
     def run(batches):
-        for b in sliced(batches):
+        for b in batches:
             f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in (0, 1)], axis=1)
             own = _nodes(f, b.column(2).to_numpy()).view(np.uint64)
             for s in range(SEGMENTS):
@@ -447,7 +447,7 @@ def _alike(x: bytes, y: bytes, similarity: float) -> bool:
 
 def _similar(similarity: float):
     def run(batches):
-        for b in sliced(batches):
+        for b in batches:
             keep = pa.array([_alike(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
@@ -544,7 +544,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 def _groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(doc_id, hash, first, first_hash) for each row: hash that of the text, first and first_hash those of one row of the group, of the smallest doc_id."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("hash"))
+    texts = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("hash")))
     rows = saved(texts.mapInArrow(_wide_fingerprints(words), "doc_id long, node long, f0 long, f1 long, s long, hash long, set binary"), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
     classes = saved(rows.groupBy("node", "f0", "f1", "s").agg(least), "classes")

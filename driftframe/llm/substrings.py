@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import dealt, gathered, mix64, partitions, read, sliced
+from driftframe.llm.shared import bounded, dealt, gathered, mix64, partitions, read
 
 #: Windows compared at once in a task.
 BLOCK_WORDS = 1 << 19
@@ -63,7 +63,7 @@ def anchors(half: np.ndarray, span: int) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
     """Rows of texts in blocks of about BLOCK_WORDS words; a longer text is a block of its own."""
     block, n = [], 0
-    for b in sliced(batches):
+    for b in batches:
         for row in zip(*(b.column(i).to_pylist() for i in range(columns))):
             block.append(row)
             n += 1 + len(row[2] or "") // 6
@@ -235,7 +235,7 @@ def repeated_spans(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()
     # only where a doc_id is null or repeated does the text's hash tell documents apart
     clash = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
     th = F.coalesce(F.xxhash64("text"), F.lit(0)) if clash else F.lit(0).cast("long")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("__did"), th.alias("__th"), F.col("text").cast("string").alias("__text"), *keep)
+    keyed = bounded(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("__did"), th.alias("__th"), F.col("text").cast("string").alias("__text"), *keep))
     seen = keyed.select("__did", "__th", "__text").mapInArrow(_first_level(length, n), "target int, blob binary")
     packed, per_document = "target int, blob binary", "__did long, __th long, __blob binary"
     found = seen.repartition(n, "target").mapInArrow(_repeated(n), packed).repartition(n, "target").mapInArrow(_by_document(_HASH_OF), per_document)
@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()
     others = [f.name for f in rows.drop("__blob").schema]
 
     def run(batches):
-        for b in sliced(batches):
+        for b in batches:
             n_words, n_removed, texts = [], [], []
             for text, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = split_words(text)

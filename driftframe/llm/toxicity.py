@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import read, sliced
+from driftframe.llm.shared import bounded, read
 
 #: Word features are hashed to so many weights.
 FEATURES = 1 << 18
@@ -51,14 +51,14 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int):
     chosen = named.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def bags(batches):
-        for b in sliced(batches):
+        for b in batches:
             rows = [sentence_words(t) for t in b.column(2).to_pylist()]
             words = [np.array([feature(w) for s in x for w in s[2]], "<i4").tobytes() for x in rows]
             lengths = [np.array([len(s[2]) for s in x], "<i4").tobytes() for x in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary()), pa.array(lengths, pa.binary()), b.column(3)], ["id", "toxic", "words", "lengths", "hash"])
 
     # chosen has at most sample rows of two numbers: small enough to broadcast at any size
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    rows = bounded(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))).join(F.broadcast(chosen), "id")
     return rows.select("id", "toxic", "text", F.xxhash64("id").alias("hash")).mapInArrow(bags, "id long, toxic int, words binary, lengths binary, hash long").toLocalIterator()
 
 
@@ -158,12 +158,12 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
     def run(batches):
         score = make()
-        for b in sliced(batches):
+        for b in batches:
             found = [score(t) for t in b.column(1).to_pylist()]
             spans = pa.array([[{"begin": x, "end": y, "score": z} for x, y, z in f[1]] for f in found], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.float64()), spans], ["doc_id", "text", "score", "offending"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return bounded(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
@@ -173,10 +173,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Dat
 
     def run(batches):
         score = make()
-        for b in sliced(batches):
+        for b in batches:
             yield b.filter(pa.array([score(t)[0] < least for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, kept)
+    return bounded(docs).mapInArrow(run, kept)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
