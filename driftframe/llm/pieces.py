@@ -44,6 +44,8 @@ class Pieces:
         self.bytes = {int(names[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
         usable = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {names[i].replace(_SPACE, " "): i for i in usable}
+        if bad := [p for p in self.ids if " " in p.lstrip(" ")]:
+            raise ValueError(f"a piece with a space inside, {bad[0]!r}: texts of this model do not divide before spaces")
         # The file ranks its pieces; probabilities follow Zipf's law over that rank, flattened by the temperature.
         # A constant factor for each character changes no relative weight of segmentations and keeps sums in range.
         rank = {i: k for k, i in enumerate(sorted(usable, key=lambda i: -sp.get_score(i)))}
@@ -293,7 +295,7 @@ def row_keys(ids: list, texts: list[str | None], seed: int) -> np.ndarray:
 def encoded(docs: DataFrame, model: str = MODEL, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """(doc_id, ids, n_pieces, decoded_sha256) for each row of docs (doc_id, text, ...).
 
-    ids is a segmentation drawn by doc_id and seed; decoded_sha256, of the text that decoding the ids gives,
+    Pieces weigh by Zipf's law over their rank in the model file, which states no probabilities. ids is a segmentation drawn by doc_id and seed; decoded_sha256, of the text that decoding the ids gives,
     shows that nothing is lost. Null and empty texts have no pieces. Rows equal in doc_id and text get equal
     ids; a null doc_id draws by the text. Other columns are not looked at. The model file is read once on
     the driver and goes along with the tasks (half a megabyte).
@@ -341,4 +343,5 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled piece ids of every whole text, with the hash of what they decode to."""
     return encoded(read(spark, sf_dir, "documents"))

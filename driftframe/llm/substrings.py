@@ -1,12 +1,15 @@
 """Substring dedup by level-wise doubling.
 
-Level 1 looks at windows of half the wanted length: only those of locally least hash
-(every wanted window holds one) are counted, over all documents. Windows that occur once are
-dropped; around the others, windows of twice the length are compared. Longer levels
-would change nothing here: a longer repeat is a union of repeats of the wanted length.
+Level 1 looks at windows of LEAST words or a little more: only those of locally least hash
+(every window of twice the length holds one) are counted, over all documents. Windows that occur once are
+dropped; around the others, windows of twice the length are looked at in the same way, and so on up to the
+wanted length, where all windows left are compared. For removal no longer level is needed: a longer
+repeat is a union of repeats of the wanted length. longest_repeats() goes on doubling until no window survives.
 
 Before a shuffle each task compares what it holds itself and sends one row of any
 window, so that no key gets more rows than there are blocks of input.
+
+Windows are equal if 128 bits of hash are: with 10**13 windows some two share them by chance in one of 10**12 corpora.
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import bounded, dealt, gathered, mix64, partitions, read
+from driftframe.llm.shared import bounded, dealt, gathered, mix64, partitions, read, saved
 
-#: Windows compared at once in a task.
-BLOCK_WORDS = 1 << 19
+#: Windows compared at once in a task; the first level's windows have from so many words to twice as many.
+BLOCK_WORDS, LEAST = 1 << 19, 10
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 _SEEN = np.dtype([("h", "<u8"), ("did", "<i8"), ("th", "<i8"), ("many", "<i4")])
-_WINDOW = np.dtype([("h", "<u8"), ("did", "<i8"), ("th", "<i8"), ("at", "<i4")])
+_WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("did", "<i8"), ("th", "<i8"), ("at", "<i4")])
 _HASH_OF = np.dtype([("did", "<i8"), ("th", "<i8"), ("h", "<u8")])
 _SPAN_OF = np.dtype([("did", "<i8"), ("th", "<i8"), ("begin", "<i4"), ("end", "<i4")])
 _NULL_ID = (1 << 63) - 1
@@ -75,22 +78,58 @@ def _blocks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tu
 
 
 def _word_hashes(text: str | None) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in split_words(text)], dtype=np.uint64)
+    """Two hashes of each word, as two rows."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in split_words(text)]), np.uint64).reshape(-1, 2).T
+
+
+def levels(length: int) -> list[int]:
+    """The lengths of windows up to length: each twice the one before, or one more."""
+    out = [length]
+    while out[0] >= 2 * LEAST:
+        out.insert(0, out[0] // 2)
+    return out if len(out) > 1 else [max(1, length // 2), length]
+
+
+def _starts(words: np.ndarray, low: int, high: int, wanted: np.ndarray, sampled: bool) -> np.ndarray:
+    """Where windows of high words may repeat, wanted being the hashes of repeated ones of low words: all, or sampled ones."""
+    h = window_hashes(words, low)
+    known = np.isin(h, wanted)
+    if sampled:
+        return np.flatnonzero(known[anchors(h, high - low + 1)])
+    return np.flatnonzero(known[: max(0, len(h) - (high - low))] & known[high - low :])
+
+
+def _first_windows(low: int, high: int):
+    def windows(words, blob):
+        h = window_hashes(words, low)
+        return h[np.unique(anchors(h, high - low + 1))]
+
+    return windows
 
 
-def _first_level(length: int, targets: int):
-    half, span = length // 2, length - length // 2 + 1
+def _next_windows(before: int, low: int, high: int | None, sampled: bool):
+    """Windows of low words that hold a repeated one of before words; with high, only those of locally least hash."""
+
+    def windows(words, blob):
+        if not blob:
+            return np.zeros(0, np.uint64)
+        at, h = _starts(words, before, low, np.frombuffer(blob, "<u8"), sampled), window_hashes(words, low)
+        return h[at if high is None else np.intersect1d(at, anchors(h, high - low + 1))]
+
+    return windows
+
+
+def _counted(windows, columns: int, targets: int):
+    """What windows(words, blob) gives of each document, one row of any hash from a block, packed as _SEEN."""
 
     def run(batches):
-        for block in _blocks(batches, 3):
+        for block in _blocks(batches, columns):
             parts = []
-            for did, th, text in block:
-                h = window_hashes(_word_hashes(text), half)
-                if len(at := np.unique(anchors(h, span))):
-                    seen = np.zeros(len(own := np.unique(h[at])), _SEEN)
-                    seen["h"], seen["did"], seen["th"] = own, did, th
-                    # twice in one document is a repeat too
-                    seen["many"] = len(own) != len(at) and np.isin(own, own[np.bincount(np.searchsorted(own, h[at])) > 1])
+            for did, th, text, *blob in block:
+                own, n = np.unique(windows(_word_hashes(text)[0], *blob or (None,)), return_counts=True)
+                if len(own):
+                    seen = np.zeros(len(own), _SEEN)
+                    seen["h"], seen["did"], seen["th"], seen["many"] = own, did, th, n > 1  # twice in one document is a repeat too
                     parts.append(seen)
             if not parts:
                 continue
@@ -153,13 +192,15 @@ def _repeated(targets: int):
 
 
 def _later(rows: np.ndarray) -> np.ndarray:
-    """Which of rows, ordered by (h, did, th, at), have the same h as the row before."""
-    return np.concatenate([[False], np.diff(rows["h"]) == 0]) if len(rows) else np.zeros(0, bool)
+    """Which of rows, ordered by (h, g, did, th, at), have the same h and g as the row before."""
+    return np.concatenate([[False], (np.diff(rows["h"]) == 0) & (np.diff(rows["g"]) == 0)]) if len(rows) else np.zeros(0, bool)
 
 
-def _second_level(length: int, targets: int):
-    half, span = length // 2, length - length // 2 + 1
+def _ordered(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort((rows["at"], rows["th"], rows["did"], rows["g"], rows["h"]))]
 
+
+def _last_level(low: int, length: int, targets: int):
     def run(batches):
         for block in _blocks(batches, 4):
             parts = []
@@ -167,17 +208,14 @@ def _second_level(length: int, targets: int):
                 if not blob:
                     continue
                 words = _word_hashes(text)
-                h = window_hashes(words, half)
-                at = anchors(h, span)
-                wanted = np.unique(np.frombuffer(blob, "<u8"))
-                starts = np.flatnonzero(np.isin(h, wanted)[at])
+                starts = _starts(words[0], low, length, np.frombuffer(blob, "<u8"), True)
                 rows = np.zeros(len(starts), _WINDOW)
-                rows["h"], rows["did"], rows["th"], rows["at"] = window_hashes(words, length)[starts], did, th, starts
+                rows["h"], rows["g"] = (window_hashes(w, length)[starts] for w in words)
+                rows["did"], rows["th"], rows["at"] = did, th, starts
                 parts.append(rows)
             if not parts:
                 continue
-            rows = np.concatenate(parts)
-            rows = rows[np.lexsort((rows["at"], rows["th"], rows["did"], rows["h"]))]
+            rows = _ordered(np.concatenate(parts))
             later = _later(rows)
             removed, rows = rows[later], rows[~later]
             if out := dealt((rows["h"] % np.uint64(targets)).astype(np.int64), rows):
@@ -198,8 +236,7 @@ def _verdicts(length: int, targets: int):
     def run(batches):
         rows = gathered(batches, _WINDOW)
         known = rows["h"] == 0
-        rest = rows[~known]
-        rest = rest[np.lexsort((rest["at"], rest["th"], rest["did"], rest["h"]))]
+        rest = _ordered(rows[~known])
         gone = np.concatenate([rows[known], rest[_later(rest)]])
         if not len(gone):
             return
@@ -224,6 +261,35 @@ def _removal(words: list, blob: bytes | None) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def _keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs as __did (the doc_id, the largest long for null), __th, __text and the columns keep."""
+    # only where a doc_id is null or repeated does the text's hash tell documents apart
+    clash = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+    th = F.coalesce(F.xxhash64("text"), F.lit(0)) if clash else F.lit(0).cast("long")
+    return bounded(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("__did"), th.alias("__th"), F.col("text").cast("string").alias("__text"), *keep))
+
+
+_PACKED, _PER_DOCUMENT = "target int, blob binary", "__did long, __th long, __blob binary"
+
+
+def _survivors(rows: DataFrame, windows, n: int) -> DataFrame:
+    """(__did, __th, __blob): of each document the hashes of its windows that occur more than once; rows: __did, __th, __text and maybe __blob."""
+    seen = rows.mapInArrow(_counted(windows, len(rows.columns), n), _PACKED).repartition(n, "target").mapInArrow(_repeated(n), _PACKED)
+    return seen.repartition(n, "target").mapInArrow(_by_document(_HASH_OF), _PER_DOCUMENT)
+
+
+def _below(keyed: DataFrame, length: int, n: int) -> tuple[int, DataFrame]:
+    """The last level below length, and what survives it."""
+    lengths, found = levels(length), None
+    for i, (low, high) in enumerate(zip(lengths, lengths[1:])):
+        texts = keyed.select("__did", "__th", "__text")
+        if found is None:
+            found = _survivors(texts, _first_windows(low, high), n)
+        else:
+            found = _survivors(texts.join(found, ["__did", "__th"]), _next_windows(lengths[i - 1], low, high, True), n)
+    return lengths[-2], found
+
+
 def repeated_spans(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns keep of docs (doc_id, text, ...) with __did (the doc_id, the largest long for null), __text and __blob:
     spans of words that a window of length words, whose words also start earlier, covers.
@@ -231,20 +297,38 @@ def repeated_spans(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()
     Earlier: in a document of smaller doc_id (null last; equal doc_ids by the text's hash) or further up
     in the same document; rows equal in doc_id and text count as one document. length is at least 2.
     """
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    # only where a doc_id is null or repeated does the text's hash tell documents apart
-    clash = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
-    th = F.coalesce(F.xxhash64("text"), F.lit(0)) if clash else F.lit(0).cast("long")
-    keyed = bounded(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("__did"), th.alias("__th"), F.col("text").cast("string").alias("__text"), *keep))
-    seen = keyed.select("__did", "__th", "__text").mapInArrow(_first_level(length, n), "target int, blob binary")
-    packed, per_document = "target int, blob binary", "__did long, __th long, __blob binary"
-    found = seen.repartition(n, "target").mapInArrow(_repeated(n), packed).repartition(n, "target").mapInArrow(_by_document(_HASH_OF), per_document)
+    n, keyed = partitions(docs.sparkSession), _keyed(docs, keep)
+    low, found = _below(keyed, length, n)
     # the columns kept go along, so that both joins on (__did, __th) read one exchange of the texts
-    windows = keyed.join(found, ["__did", "__th"], "left").select("__did", "__th", "__text", "__blob", *keep).mapInArrow(_second_level(length, n), "target int, blob binary")
-    spans = windows.repartition(n, "target").mapInArrow(_verdicts(length, n), packed).repartition(n, "target").mapInArrow(_by_document(_SPAN_OF), per_document)
+    windows = keyed.join(found, ["__did", "__th"], "left").select("__did", "__th", "__text", "__blob", *keep).mapInArrow(_last_level(low, length, n), _PACKED)
+    spans = windows.repartition(n, "target").mapInArrow(_verdicts(length, n), _PACKED).repartition(n, "target").mapInArrow(_by_document(_SPAN_OF), _PER_DOCUMENT)
     return keyed.join(spans, ["__did", "__th"], "left")
 
 
+def longest_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
+    """(doc_id, longest) of the documents (doc_id, text, ...) with a window of length words that occurs more than once, anywhere.
+
+    longest is the largest of length, 2 * length, 4 * length, ... of which it has such a window. Windows that repeat at one length alone
+    are looked at at twice the length, until none is left; each level reads only the documents of those before it.
+    Equal by 64 bits of hash. Rows equal in doc_id and text count as one document; null and empty texts have none.
+    """
+    keyed = saved(_keyed(docs).dropDuplicates(["__did", "__th"]), "texts")
+    n, out = partitions(docs.sparkSession), None
+    before, found = _below(keyed, length, n)
+    sampled, now = True, length
+    while True:
+        found = saved(_survivors(keyed.join(found, ["__did", "__th"]), _next_windows(before, now, None, sampled), n), "level")
+        if found.isEmpty():
+            break
+        own = found.select("__did", "__th", F.lit(now).cast("long").alias("longest"))
+        out = own if out is None else out.unionAll(own)
+        before, now, sampled = now, 2 * now, False
+    if out is None:
+        out = found.select("__did", "__th", F.lit(None).cast("long").alias("longest"))
+    best = out.groupBy("__did", "__th").agg(F.max("longest").alias("longest"))
+    return best.select(F.when(F.col("__did") != _NULL_ID, F.col("__did")).alias("doc_id"), "longest")
+
+
 def remove_repeats(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """(__did, __text, __n_words, __n_removed, __kept) and the columns keep, for each row of docs (doc_id, text, ...).
 
@@ -281,6 +365,7 @@ def without_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document, how many words it has and loses, and the hash of what is left."""
     found = remove_repeats(read(spark, sf_dir, "documents"))
     doc_id = F.when(F.col("__did") != _NULL_ID, F.col("__did"))
     return found.select(doc_id.alias("doc_id"), F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))

@@ -180,6 +180,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Dat
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learnt from labels outside the held-out fold, and where its offending sentences are."""
     found = scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))  # a null doc_id has no label
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")

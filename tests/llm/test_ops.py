@@ -183,6 +183,31 @@ def test_substrings(docs, empty):
     assert out.columns == docs.columns and out.count() == len(ROWS) and substrings.remove_repeats(empty).count() == 0
 
 
+def test_levels():
+    assert substrings.levels(20) == [10, 20] and substrings.levels(160) == [10, 20, 40, 80, 160] and substrings.levels(3) == [1, 3] and substrings.levels(45) == [11, 22, 45]
+
+
+@pytest.mark.parametrize("length", [3, 20, 45])
+def test_any_length(spark, length):
+    rng = np.random.default_rng(length)
+    passage = [f"p{i}" for i in range(200)]
+    rows = []
+    for d in range(12):
+        a, n = rng.integers(0, 100), rng.integers(2, 100)
+        rows.append((d, " ".join([f"d{d}_{i}" for i in range(30)] + passage[a : a + n] + [f"e{d}_{i}" for i in range(5)])))
+    want = brute_repeats(rows, length)
+    got = {r["__did"]: (r["__n_words"], r["__n_removed"]) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()}
+    assert got == {d: w[:2] for d, w in want.items()} and any(w[1] for w in want.values())
+
+
+def test_longest_repeats(spark, empty):
+    p = [f"p{i}" for i in range(300)]
+    rows = [(1, " ".join(p)), (2, " ".join(["a"] + p[:170])), (3, " ".join(p[:45] + ["b"])), (4, " ".join(["c"] + p[100:125])), (5, " ".join(p[:19])), (6, None), (None, " ".join(["n"] + p[200:300])), (7, "x " * 50)]
+    got = {r[0]: r[1] for r in substrings.longest_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {1: 160, 2: 160, 3: 40, 4: 20, None: 80, 7: 40}
+    assert substrings.longest_repeats(empty).count() == 0
+
+
 def test_pieces(docs, empty):
     rows = pieces.encoded(docs).collect()
     texts = {r[0]: r[1] or "" for r in ROWS}
