@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import read, saved
+from driftframe.llm.shared import partitions, read, saved
 
 WEIGHTS, MOST_PASSES = (5.0, 2.0, 1.0), 3
 #: Blocks of a source; a block is the unit dealt to shards.
@@ -140,11 +140,15 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     rows = measured(renamed, [f"__c{i}" for i in range(len(columns))], seed)
     taken = mixed(rows, plan(rows, shards, seed)).where("copies > 0")
     taken = taken.withColumn("pass", F.explode(F.expr("sequence(1, copies)"))).withColumn("shard", F.expr("shards[pass - 1]"))
-    taken = taken.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 1), "__key", "pass"))
+    # a shard is written by several tasks, more for more partitions; which of them gets a row is drawn as the order is
+    pieces = max(1, -(-partitions(docs.sparkSession) // shards))
+    taken = taken.withColumn("order", F.xxhash64(F.lit(seed + 1), "__key", "pass")).withColumn("piece", F.pmod("order", F.lit(pieces)))
+    taken = taken.repartition(shards * pieces, "shard", "piece").sortWithinPartitions("shard", "piece", "order")
     return taken.select(*(F.col(f"__c{i}").alias(n) for i, n in enumerate(columns)))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document, its source's size and target and the words the mix takes of it."""
     rows = saved(measured(read(spark, sf_dir, "documents"), ["doc_id"]), "sizes")
     found = mixed(rows, plan(rows))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"), "shards")
