@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class TelemetryError(Exception):
     """Base of all errors of this package; keyword arguments become attributes."""
@@ -42,9 +44,6 @@ class TruncatedRecord(TelemetryError): ...
 class DecodedSizeLimit(TelemetryError): ...
 
 
-class InvalidDlc(TelemetryError): ...
-
-
 class PayloadStateLimit(TelemetryError): ...
 
 
@@ -60,12 +59,6 @@ class InvalidCustomPayload(TelemetryError): ...
 class MissingSignalDefinition(TelemetryError): ...
 
 
-class UnsupportedFrame(TelemetryError): ...
-
-
-class InvalidFramePayload(TelemetryError): ...
-
-
 class LateTimestamp(TelemetryError): ...
 
 
@@ -76,3 +69,12 @@ class SchemaError(TelemetryError): ...
 
 
 class InvalidArgument(TelemetryError): ...
+
+
+def typed(e: Exception) -> Exception:
+    """The error of this package that a failed task's text tells of, else e itself."""
+    if isinstance(e, TelemetryError):
+        return e
+    kinds = {c.__name__: c for c in TelemetryError.__subclasses__()}
+    found = re.search(rf"\b({'|'.join(kinds)}): ([^\n]*)", str(e))
+    return kinds[found[1]](found[2].strip().rstrip("'\"")) if found else e

@@ -28,7 +28,7 @@ GROUPS = {
 }
 
 #: Fixed values of the format: number, column, kind (S signed, U unsigned, F float32, T text), shift, width, scale, bias,
-#: units or the name of the texts. Fault bits are made below.
+#: units or the name of the texts. Faults stand below.
 _FIELDS = {
     "MOTOR_OUTPUT": [
         (1772, "motor_voltage", "S", 2, 13, 0.01, 0.0, "V"),
@@ -112,34 +112,60 @@ _FIELDS = {
     ],
 }
 
-#: Fixed values of the format: number, name and bit of each fault; the sticky one is the next number, 32 bits up.
+#: Fixed values of the format: number, column and bit of each fault.
 _FAULTS = [
-    (10001, "hardware", 0),
-    (10004, "proc_temp", 1),
-    (10007, "device_temp", 2),
-    (10010, "undervoltage", 3),
-    (10013, "boot_during_enable", 4),
-    (10016, "unlicensed_feature_in_use", 5),
-    (10049, "bridge_brownout", 23),
-    (10052, "remote_sensor_reset", 22),
-    (10055, "missing_differential_fx", 21),
-    (10058, "remote_sensor_pos_overflow", 20),
-    (10061, "over_supply_v", 19),
-    (10064, "unstable_supply_v", 18),
-    (10067, "reverse_hard_limit", 17),
-    (10070, "forward_hard_limit", 16),
-    (10073, "reverse_soft_limit", 15),
-    (10076, "forward_soft_limit", 14),
-    (10079, "missing_soft_limit_remote", 13),
-    (10082, "missing_hard_limit_remote", 12),
-    (10085, "remote_sensor_data_invalid", 11),
-    (10088, "fused_sensor_out_of_sync", 10),
-    (10091, "stator_curr_limit", 9),
-    (10094, "supply_curr_limit", 8),
-    (10097, "using_fused_ca_ncoder_while_unlicensed", 7),
-    (10100, "static_brake_disabled", 6),
-    (10145, "rotor_fault1", 25),
-    (10148, "rotor_fault2", 26),
+    (10001, "fault_hardware", 0),
+    (10002, "sticky_fault_hardware", 32),
+    (10004, "fault_proc_temp", 1),
+    (10005, "sticky_fault_proc_temp", 33),
+    (10007, "fault_device_temp", 2),
+    (10008, "sticky_fault_device_temp", 34),
+    (10010, "fault_undervoltage", 3),
+    (10011, "sticky_fault_undervoltage", 35),
+    (10013, "fault_boot_during_enable", 4),
+    (10014, "sticky_fault_boot_during_enable", 36),
+    (10016, "fault_unlicensed_feature_in_use", 5),
+    (10017, "sticky_fault_unlicensed_feature_in_use", 37),
+    (10049, "fault_bridge_brownout", 23),
+    (10050, "sticky_fault_bridge_brownout", 55),
+    (10052, "fault_remote_sensor_reset", 22),
+    (10053, "sticky_fault_remote_sensor_reset", 54),
+    (10055, "fault_missing_differential_fx", 21),
+    (10056, "sticky_fault_missing_differential_fx", 53),
+    (10058, "fault_remote_sensor_pos_overflow", 20),
+    (10059, "sticky_fault_remote_sensor_pos_overflow", 52),
+    (10061, "fault_over_supply_v", 19),
+    (10062, "sticky_fault_over_supply_v", 51),
+    (10064, "fault_unstable_supply_v", 18),
+    (10065, "sticky_fault_unstable_supply_v", 50),
+    (10067, "fault_reverse_hard_limit", 17),
+    (10068, "sticky_fault_reverse_hard_limit", 49),
+    (10070, "fault_forward_hard_limit", 16),
+    (10071, "sticky_fault_forward_hard_limit", 48),
+    (10073, "fault_reverse_soft_limit", 15),
+    (10074, "sticky_fault_reverse_soft_limit", 47),
+    (10076, "fault_forward_soft_limit", 14),
+    (10077, "sticky_fault_forward_soft_limit", 46),
+    (10079, "fault_missing_soft_limit_remote", 13),
+    (10080, "sticky_fault_missing_soft_limit_remote", 45),
+    (10082, "fault_missing_hard_limit_remote", 12),
+    (10083, "sticky_fault_missing_hard_limit_remote", 44),
+    (10085, "fault_remote_sensor_data_invalid", 11),
+    (10086, "sticky_fault_remote_sensor_data_invalid", 43),
+    (10088, "fault_fused_sensor_out_of_sync", 10),
+    (10089, "sticky_fault_fused_sensor_out_of_sync", 42),
+    (10091, "fault_stator_curr_limit", 9),
+    (10092, "sticky_fault_stator_curr_limit", 41),
+    (10094, "fault_supply_curr_limit", 8),
+    (10095, "sticky_fault_supply_curr_limit", 40),
+    (10097, "fault_using_fused_ca_ncoder_while_unlicensed", 7),
+    (10098, "sticky_fault_using_fused_ca_ncoder_while_unlicensed", 39),
+    (10100, "fault_static_brake_disabled", 6),
+    (10101, "sticky_fault_static_brake_disabled", 38),
+    (10145, "fault_rotor_fault1", 25),
+    (10146, "sticky_fault_rotor_fault1", 57),
+    (10148, "fault_rotor_fault2", 26),
+    (10149, "sticky_fault_rotor_fault2", 58),
 ]
 
 
@@ -154,21 +180,76 @@ ENUMS = {
         "BridgeReq_Coast",
     ),
     "control_mode": (
-        dict(enumerate(
-            "DisabledOutput NeutralOut StaticBrake DutyCycleOut PositionDutyCycle VelocityDutyCycle MotionMagicDutyCycle DutyCycleFOC PositionDutyCycleFOC "
-            "VelocityDutyCycleFOC MotionMagicDutyCycleFOC VoltageOut PositionVoltage VelocityVoltage MotionMagicVoltage VoltageFOC PositionVoltageFOC "
-            "VelocityVoltageFOC MotionMagicVoltageFOC TorqueCurrentFOC PositionTorqueCurrentFOC VelocityTorqueCurrentFOC MotionMagicTorqueCurrentFOC Follower "
-            "Reserved CoastOut UnauthorizedDevice MusicTone MotionMagicVelocityDutyCycle MotionMagicVelocityDutyCycleFOC MotionMagicVelocityVoltage "
-            "MotionMagicVelocityVoltageFOC MotionMagicVelocityTorqueCurrentFOC MotionMagicExpoDutyCycle MotionMagicExpoDutyCycleFOC MotionMagicExpoVoltage "
-            "MotionMagicExpoVoltageFOC MotionMagicExpoTorqueCurrentFOC".split()
-        )),
+        {
+            0: "DisabledOutput",
+            1: "NeutralOut",
+            2: "StaticBrake",
+            3: "DutyCycleOut",
+            4: "PositionDutyCycle",
+            5: "VelocityDutyCycle",
+            6: "MotionMagicDutyCycle",
+            7: "DutyCycleFOC",
+            8: "PositionDutyCycleFOC",
+            9: "VelocityDutyCycleFOC",
+            10: "MotionMagicDutyCycleFOC",
+            11: "VoltageOut",
+            12: "PositionVoltage",
+            13: "VelocityVoltage",
+            14: "MotionMagicVoltage",
+            15: "VoltageFOC",
+            16: "PositionVoltageFOC",
+            17: "VelocityVoltageFOC",
+            18: "MotionMagicVoltageFOC",
+            19: "TorqueCurrentFOC",
+            20: "PositionTorqueCurrentFOC",
+            21: "VelocityTorqueCurrentFOC",
+            22: "MotionMagicTorqueCurrentFOC",
+            23: "Follower",
+            24: "Reserved",
+            25: "CoastOut",
+            26: "UnauthorizedDevice",
+            27: "MusicTone",
+            28: "MotionMagicVelocityDutyCycle",
+            29: "MotionMagicVelocityDutyCycleFOC",
+            30: "MotionMagicVelocityVoltage",
+            31: "MotionMagicVelocityVoltageFOC",
+            32: "MotionMagicVelocityTorqueCurrentFOC",
+            33: "MotionMagicExpoDutyCycle",
+            34: "MotionMagicExpoDutyCycleFOC",
+            35: "MotionMagicExpoVoltage",
+            36: "MotionMagicExpoVoltageFOC",
+            37: "MotionMagicExpoTorqueCurrentFOC",
+        },
         "DisabledOutput",
     ),
     "motor": (
-        dict(enumerate("Unknown Falcon500_Integrated KrakenX60_Integrated KrakenX44_Integrated Minion_JST Brushed_AB Brushed_AC Brushed_BC NEO_JST NEO550_JST VORTEX_JST CustomBrushless".split())),
+        {
+            0: "Unknown",
+            1: "Falcon500_Integrated",
+            2: "KrakenX60_Integrated",
+            3: "KrakenX44_Integrated",
+            4: "Minion_JST",
+            5: "Brushed_AB",
+            6: "Brushed_AC",
+            7: "Brushed_BC",
+            8: "NEO_JST",
+            9: "NEO550_JST",
+            10: "VORTEX_JST",
+            11: "CustomBrushless",
+        },
+        "Unknown",
+    ),
+    "motor_status": (
+        {
+            0: "Unknown",
+            1: "Off",
+            2: "StaticBraking",
+            3: "Motoring",
+            4: "DiscordantMotoring",
+            5: "RegenBraking",
+        },
         "Unknown",
     ),
-    "motor_status": (dict(enumerate("Unknown Off StaticBraking Motoring DiscordantMotoring RegenBraking".split())), "Unknown"),
 }
 
 
@@ -190,9 +271,8 @@ def _definitions() -> list[Definition]:
     for group, fields in _FIELDS.items():
         for spn, column, kind, shift, width, scale, bias, units in fields:
             out.append(Definition(group, spn, column, kind, shift, width, scale, bias, None if kind == "T" else units or None, units if kind == "T" else None))
-    for spn, name, bit in _FAULTS:
-        for step, prefix in ((0, ""), (1, "sticky_")):
-            out.append(Definition("FAULTS", spn + step, f"{prefix}fault_{name}", "U", bit + 32 * step, 1, 1.0, 0.0, None, None))
+    for spn, column, bit in _FAULTS:
+        out.append(Definition("FAULTS", spn, column, "U", bit, 1, 1.0, 0.0, None, None))
     return out
 
 
@@ -221,15 +301,3 @@ def is_candidate(arbitration: Column, record_class: Column, length: Column) -> C
     base = bits.base_id(arbitration)
     known = (length == 6) & (base == VERSION_BASE) | (length == 8) & base.isin(list(STATUS_BASES)) | (length == 64) & (record_class == 3) & (base == BUNDLE_BASE)
     return record_class.isin(1, 3) & known
-
-
-def field_value(definition: Definition, word: Column) -> tuple[Column | None, Column | None]:
-    """(double, string) of a field in a word: one of them is set."""
-    raw = bits.extract(word, definition.shift, definition.width)
-    if definition.kind == "T":
-        return None, enum_text(definition.texts, raw)
-    if definition.kind == "F":
-        return bits.float_from_bits(F.shiftleft(raw, 32 - definition.width)), None
-    if definition.kind == "S":
-        raw = bits.sign_extend(raw, definition.width)
-    return bits.scaled(raw, definition.scale, definition.bias), None

@@ -14,11 +14,12 @@ def first_and_count(rows: DataFrame, keys: list[str], first: dict[str, str], ord
     return agg.select(*keys, "count", "x.*")
 
 
-def unsupported_rollup(frames: DataFrame) -> DataFrame:
-    """frames that nothing decodes, rolled up by arbitration id, class and payload length, in key order."""
+def unsupported_rollup(frames: DataFrame, by: list[str] = ()) -> DataFrame:
+    """frames that nothing decodes, rolled up by arbitration id, class and payload length (and by, a file), in key order."""
+    keys = [*by, "arbitration_id", "record_class", "payload_len"]
     keyed = frames.withColumn("payload_len", F.octet_length("payload"))
     first = {"decoded_offset": "first_decoded_offset", "compressed_byte_offset": "first_compressed_byte_offset", "payload": "first_payload", "payload_delta": "first_payload_delta"}
-    return first_and_count(keyed, ["arbitration_id", "record_class", "payload_len"], first, "decoded_offset").orderBy("arbitration_id", "record_class", "payload_len")
+    return first_and_count(keyed, keys, first, "decoded_offset").orderBy(*keys)
 
 
 def payload_variants(frames: DataFrame, arbitration: int, record_class: int | None = None, limit: int = 32) -> DataFrame:
@@ -36,17 +37,7 @@ def running_sum_mod(rows: DataFrame, delta: str, by: list[str], order: str, modu
     return F.sum(delta).over(w) % modulus
 
 
-def reconstruct_payloads(frames: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
-    """payload of each record from payload_delta: bytes add up modulo 256 for each header; a shorter record leaves later bytes as they were."""
-    keys = [*by, "header", "decoded_offset"]
-    each = frames.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length("payload_delta"), F.lit(1))), lambda i: F.when(i <= F.octet_length("payload_delta"), F.conv(F.hex(F.substring(F.col("payload_delta"), i, F.lit(1))), 16, 10).cast("int")))).alias("pos", "d"))
-    each = each.withColumn("b", running_sum_mod(each, "d", [*by, "header", "pos"], "decoded_offset").cast("int")).where("d is not null")
-    joined = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "b"))).alias("bs"))
-    hexed = F.array_join(F.transform("bs", lambda x: F.lpad(F.hex(x["b"]), 2, "0")), "")
-    return frames.join(joined.select(*keys, F.unhex(hexed).alias("payload")), keys, "left").withColumn("payload", F.coalesce("payload", F.unhex(F.lit(""))))
-
-
-def disorder(rows: DataFrame, ts: str = "timestamp", seq: str = "seq", by: list[str] = ()) -> DataFrame:
+def disorder(rows: DataFrame, ts: str = "timestamp", seq: str = "seq", *, by: list[str]) -> DataFrame:
     """min and max of ts, how many rows stand below the largest before them in source order, and by how much at most.
 
     The running maximum is taken within by (a file); one file's order is a sequence, files are independent.
@@ -55,7 +46,7 @@ def disorder(rows: DataFrame, ts: str = "timestamp", seq: str = "seq", by: list[
     seen = rows.withColumn("__before", F.max(ts).over(w))
     late = F.col(ts) < F.col("__before")
     agg = (F.min(ts).alias("min_timestamp"), F.max(ts).alias("max_timestamp"), F.count_if(late).alias("out_of_order_frames"), F.coalesce(F.max(F.when(late, F.col("__before") - F.col(ts))), F.lit(0)).alias("max_out_of_order_us"))
-    return seen.groupBy(*by).agg(*agg) if by else seen.agg(*agg)
+    return seen.groupBy(*by).agg(*agg)
 
 
 def effective_window(configured: int, measured: int) -> int:
@@ -65,7 +56,7 @@ def effective_window(configured: int, measured: int) -> int:
     return max(configured, measured)
 
 
-def buffer_peak(rows: DataFrame, window: int, ts: str = "timestamp", seq: str = "seq", by: list[str] = ()) -> DataFrame:
+def buffer_peak(rows: DataFrame, window: int, ts: str = "timestamp", seq: str = "seq", *, by: list[str]) -> DataFrame:
     """The most distinct timestamps that a re-sequencing buffer of the given window holds at once.
 
     A timestamp t enters with its first row and leaves with the first row after which the running maximum exceeds
@@ -86,14 +77,14 @@ def buffer_peak(rows: DataFrame, window: int, ts: str = "timestamp", seq: str =
     net = events.groupBy(*by, "at").agg(F.sum("d").alias("d"))
     run = Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     held = net.withColumn("held", F.sum("d").over(run))
-    return held.groupBy(*by).agg(F.max("held").alias("peak")) if by else held.agg(F.coalesce(F.max("held"), F.lit(0)).alias("peak"))
+    return held.groupBy(*by).agg(F.max("held").alias("peak"))
 
 
 def require_buffer(rows: DataFrame, window: int, most: int, **names) -> int:
-    """The peak of buffer_peak; more than most is an error, as is a most of 0."""
+    """The largest peak of buffer_peak over all of by; more than most is an error, as is a most of 0."""
     if most < 1:
         raise InvalidArgument("the reorder buffer must hold a row")
-    peak = buffer_peak(rows, window, **names).first()["peak"] or 0
+    peak = buffer_peak(rows, window, **names).agg(F.max("peak")).first()[0] or 0
     if peak > most:
         raise ReorderBufferLimit(f"{peak} timestamps waiting, {most} allowed", pending=peak, limit=most)
     return peak

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftframe.errors import SchemaError
 from driftframe.functions import bits, catalog
 from driftframe.operators import frames as fr
 from driftframe.operators import tables as tb
-from driftframe.sources import wire
+from driftframe.sources import siglog, wire
 
 ARMS = {
     "raw": "binary", "boolean": "boolean", "int64": "bigint", "float32": "float", "float64": "double", "string": "string", "boolean_array": "array<boolean>",
@@ -43,10 +46,15 @@ def custom_signals(frames: DataFrame) -> DataFrame:
     return joined.groupBy("path", "raw_id", "name", "type_code", F.col("at").alias("definition_decoded_offset")).agg(last.alias("units"))
 
 
-def custom_updates(frames: DataFrame, signals: DataFrame) -> DataFrame:
-    """(path, timestamp_us, raw_id, name, decoded_offset, compressed_byte_offset, an arm for each type): data records with the type of their signal."""
+def custom_updates(frames: DataFrame, signals: DataFrame, selected: list[str] | None = None) -> DataFrame:
+    """(path, timestamp_us, raw_id, name, decoded_offset, compressed_byte_offset, an arm for each type): data records with the type of their signal.
+
+    Of selected names only, if given: other records never get to Python. A record without a definition fails the query.
+    """
     rows = custom_records(frames).where(F.col("subtype") == DATA)
-    joined = rows.join(F.broadcast(signals.select("path", "raw_id", "name", F.col("type_code").alias("code"))), ["path", "raw_id"], "left")
+    joined = rows.join(signals.select("path", "raw_id", "name", F.col("type_code").alias("code")), ["path", "raw_id"], "left")
+    if selected is not None:
+        joined = joined.where(F.col("name").isNull() | F.col("name").isin(selected))
     code = F.when(F.col("code").isNull(), F.raise_error(F.concat(F.lit("MissingSignalDefinition: raw id "), F.col("raw_id").cast("string"))).cast("int")).otherwise(F.col("code"))
     keep = ["path", "timestamp_us", "raw_id", "name", "decoded_offset", "compressed_byte_offset"]
 
@@ -95,7 +103,7 @@ def enabled_frames(frames: DataFrame, found: DataFrame) -> DataFrame:
     """Candidate records of supported devices that their transport lets through, with what the device says of itself."""
     rows = _device_frames(frames)
     own = found.where("catalog_supported").select("path", F.col("device_id").alias("device"), "transport", "firmware", "is_pro_licensed")
-    rows = rows.join(F.broadcast(own), ["path", "device"])
+    rows = rows.join(own, ["path", "device"])
     fd = F.col("transport") == "can_fd"
     version = (F.col("length") == 6) & (F.col("record_class").isin(1) | fd)
     return rows.where((F.col("length") == 8) | (F.col("length") == 64) & fd | version)
@@ -140,89 +148,171 @@ def catalog_updates(frames: DataFrame, found: DataFrame) -> DataFrame:
     return out.unionByName(times).unionByName(resets)
 
 
+#: Fixed values of the format's output.
+CUSTOM, CATALOG, DEVICE_PREFIX = "custom", "phoenix_can", "TalonFX-"
+
+
 class Log:
-    """One or more logs: records are decoded once and kept; signals, devices and tables follow from them."""
+    """One or more logs: records are decoded once and kept until close(); signals, devices and tables follow from them.
+
+    Everything is by path: logs define their signals each for itself. Tables of several logs have a column for each name; a name
+    must have one type in all of them.
+    """
 
     def __init__(self, frames: DataFrame, header: DataFrame | None = None):
         self.frames, self.header = frames.persist(), header
         self.customs = custom_signals(self.frames)
         self.devices = devices(self.frames)
-
-    def updates(self) -> DataFrame:
-        """The long table, not re-ordered: (path, timestamp_us, raw_id, name, decoded_offset, an arm for each type)."""
-        a = custom_updates(self.frames, self.customs)
-        return a.unionByName(catalog_updates(self.frames, self.devices), allowMissingColumns=True)
+        self._updates: DataFrame | None = None
+
+    def close(self) -> None:
+        for kept in (self._updates, self.frames):
+            if kept is not None:
+                kept.unpersist()
+        self._updates = None
+
+    def _long(self, selected: list[str] | None = None) -> DataFrame:
+        a = custom_updates(self.frames, self.customs, selected)
+        b = catalog_updates(self.frames, self.devices)
+        return a.unionByName(b if selected is None else b.where(F.col("name").isin(selected)), allowMissingColumns=True)
+
+    def updates(self, ordered: bool = False) -> DataFrame:
+        """The long table, not re-sequenced: (path, timestamp_us, raw_id, name, decoded_offset, an arm for each type).
+
+        In the order of each file if ordered, those of one record by raw_id; else in no order. Kept after the first use.
+        """
+        if self._updates is None:
+            self._updates = self._long().persist()
+        return self._updates.orderBy("path", "decoded_offset", "raw_id") if ordered else self._updates
+
+    def catalog_frames(self) -> DataFrame:
+        """(path, arbitration_id, record_class, payload_len, first_decoded_offset): variants of records that the catalog decodes, by first offset."""
+        rows = enabled_frames(self.frames, self.devices).withColumnRenamed("length", "payload_len")
+        keys = ["path", "arbitration_id", "record_class", "payload_len"]
+        return rows.groupBy(*keys).agg(F.min("decoded_offset").alias("first_decoded_offset")).orderBy("path", "first_decoded_offset")
+
+    def _seen(self) -> DataFrame:
+        """(path, raw_id, name, definition_decoded_offset, spn) of the signals of the groups seen, from a row for each group of a device."""
+        spark = self.frames.sparkSession
+        enabled = enabled_frames(self.frames, self.devices).select("path", "device", "base", "length", "payload", "decoded_offset")
+        groups = enabled.select("path", "device", "decoded_offset", F.explode(F.transform(_groups(), lambda g: g["grp"])).alias("grp"))
+        first = groups.groupBy("path", "device", "grp").agg(F.min("decoded_offset").alias("at"))
+        fields = first.join(F.broadcast(catalog.definitions(spark).select("grp", "spn", "column")), "grp")
+        prefix = F.concat(F.lit("device_"), F.col("device").cast("string"), F.lit("_"))
+        known = fields.select("path", bits.catalog_raw_id("spn", "device").alias("raw_id"), F.concat(prefix, F.col("column")).alias("name"), F.col("at").alias("definition_decoded_offset"), "spn")
+        own, none = first.groupBy("path", "device").agg(F.min("at").alias("at")), F.lit(None).cast("long").alias("spn")
+        for raw_id, leaf in ((bits.timestamp_raw_id("device"), "timestamp"), (bits.reset_raw_id("device"), "reset_count")):
+            known = known.unionByName(own.select("path", raw_id.alias("raw_id"), F.concat(prefix, F.lit(leaf)).alias("name"), F.col("at").alias("definition_decoded_offset"), none))
+        return known
 
     def signals(self) -> DataFrame:
-        """The dictionary, in order of raw_id; custom signals and those of the groups that were seen."""
+        """The dictionary of each log, in order of raw_id: custom signals and those of the groups that were seen."""
         spark = self.frames.sparkSession
         types = F.create_map(*(x for c, (t, _) in wire.TYPES.items() for x in (F.lit(c), F.lit(t))))
         labels = F.create_map(*(x for c, (_, t) in wire.TYPES.items() for x in (F.lit(c), F.lit(t))))
         code = F.col("type_code")
         unknown = F.concat(F.lit("unknown/0x"), F.lower(F.lpad(F.hex(code), 2, "0")))
         customs = self.customs.select(
-            "raw_id", "name", F.coalesce(F.try_element_at(types, code), F.lit("unknown")).alias("signal_type"), F.coalesce(F.try_element_at(labels, code), unknown).alias("original_type"), F.coalesce("units", F.lit("")).alias("units"),
-            bits.units_metadata("units").alias("metadata"), F.lit("custom").alias("source"), F.lit("full").alias("support"), F.lit(None).cast("string").alias("device"), "definition_decoded_offset",
+            "path", "raw_id", "name", F.coalesce(F.try_element_at(types, code), F.lit("unknown")).alias("signal_type"), F.coalesce(F.try_element_at(labels, code), unknown).alias("original_type"),
+            F.coalesce("units", F.lit("")).alias("units"), bits.units_metadata("units").alias("metadata"), F.lit(CUSTOM).alias("source"), F.lit("full").alias("support"),
+            F.lit(None).cast("string").alias("device"), "definition_decoded_offset",
         )
-        seen = catalog_updates(self.frames, self.devices).groupBy("raw_id", "name").agg(F.min("decoded_offset").alias("definition_decoded_offset"))
         units = catalog.definitions(spark).select("spn", F.col("units").alias("u"), F.col("kind").alias("k"))
-        known = seen.withColumn("spn", F.shiftrightunsigned("raw_id", 16)).join(F.broadcast(units), "spn", "left")
+        known = self._seen().join(F.broadcast(units), "spn", "left")
         kind = F.when(F.col("name").endswith("_reset_count") & F.col("k").isNull(), "int64").when(F.col("k") == "T", "string").otherwise("float64")
+        device = F.shiftrightunsigned("raw_id", 8).bitwiseAND(F.lit(63).cast("long")).cast("string")
         made = known.select(
-            "raw_id", "name", kind.alias("signal_type"), F.when(kind == "float64", "double").otherwise(kind).alias("original_type"), F.coalesce("u", F.when(F.col("name").endswith("_timestamp"), "seconds").otherwise("")).alias("units"), F.lit("{}").alias("metadata"),
-            F.lit("phoenix_can").alias("source"), F.lit("full").alias("support"), F.concat(F.lit("TalonFX-"), F.shiftrightunsigned("raw_id", 8).bitwiseAND(F.lit(63).cast("long")).cast("string")).alias("device"), "definition_decoded_offset",
+            "path", "raw_id", "name", kind.alias("signal_type"), F.when(kind == "float64", "double").otherwise(kind).alias("original_type"),
+            F.coalesce("u", F.when(F.col("name").endswith("_timestamp"), "seconds").otherwise("")).alias("units"), F.lit("{}").alias("metadata"), F.lit(CATALOG).alias("source"), F.lit("full").alias("support"),
+            F.concat(F.lit(DEVICE_PREFIX), device).alias("device"), "definition_decoded_offset",
         )
-        return customs.unionByName(made).orderBy("raw_id")
-
-    def _columns(self, selected: list[str] | None) -> tuple[dict[str, list[int]], dict[int, str]]:
-        rows = self.signals().select("raw_id", "name", "signal_type").collect()  # the dictionary becomes columns: it is small
-        chosen = set(tb.check_names([r["name"] for r in rows], selected))
+        both = customs.unionByName(made)
+        if self.header is None:
+            both = both.withColumn("bus", F.lit(None).cast("string"))
+        else:
+            both = both.join(self.header.select("path", F.col("source").alias("bus")), "path", "left")
+        return both.orderBy("path", "raw_id")
+
+    def _columns(self, selected: list[str] | None = None) -> list[tuple[str, str, str]]:
+        """(name, type, group) of each column, in order of raw_id."""
+        grp = F.coalesce(F.concat(F.lit("device/"), F.col("device")), F.lit("custom"))
+        own = self.signals().groupBy("path", "name").agg(F.count("*").alias("n"), F.min("raw_id").alias("raw_id"), F.first("signal_type").alias("signal_type"), F.first(grp).alias("grp"))
+        rows = own.groupBy("name").agg(F.max("n").alias("n"), F.min("raw_id").alias("raw_id"), F.sort_array(F.collect_set("signal_type")).alias("types"), F.min("grp").alias("grp"))
+        rows = rows.orderBy("raw_id", "name").collect()  # a row for each column of the table to make
+        chosen = set(tb.check_names([r["name"] for r in rows for _ in range(r["n"])], selected))
         rows = [r for r in rows if r["name"] in chosen]
-        if bad := [r["name"] for r in rows if r["signal_type"] == "unknown"]:
-            from driftframe.errors import SchemaError
-
-            raise SchemaError(f"signal {bad[0]} has an unknown type")
-        arms: dict[str, list[int]] = {}
         for r in rows:
-            arms.setdefault(r["signal_type"], []).append(r["raw_id"])
-        return arms, {r["raw_id"]: r["name"] for r in rows}
-
-    def wide(self, selected: list[str] | None = None) -> DataFrame:
-        """timestamp and a column for each signal (or each selected one), the last update of each timestamp."""
-        arms, names = self._columns(selected)
-        u = self.updates().withColumnRenamed("timestamp_us", "timestamp")
+            if len(r["types"]) > 1:
+                raise SchemaError(f"signal {r['name']} has the types {', '.join(r['types'])} in different logs", name=r["name"])
+            if r["types"] == ["unknown"]:
+                raise SchemaError(f"signal {r['name']} has an unknown type", name=r["name"])
+        return [(r["name"], r["types"][0], r["grp"]) for r in rows]
+
+    def _sparse(self, columns: list[tuple[str, str, str]], selected: list[str] | None, sequence: str | None, with_path: bool) -> DataFrame:
+        arms: dict[str, list[str]] = {}
+        for name, kind, _ in columns:
+            arms.setdefault(kind, []).append(name)
+        u = (self._long(selected) if selected is not None else self.updates()).withColumnRenamed("timestamp_us", "timestamp")
         u = u.withColumn("string", F.coalesce("string", F.make_valid_utf8(F.col("raw").cast("string"))))
-        out = tb.wide_by_type(u, arms, ("timestamp",), "raw_id", "decoded_offset") if arms else u.select("timestamp").limit(0)
-        return out.select("timestamp", *(F.col(f"`{i}`").alias(names[i]) for i in sorted(names)))
+        keys, extra = ["path", "timestamp"] if with_path else ["timestamp"], [sequence] if sequence else []
+        if not arms:
+            return u.select(*keys).limit(0)
+        out = tb.sparse(u, arms, ("path", "timestamp"), "name", "decoded_offset", sequence)
+        return out.select(*keys, *extra, *(F.col(f"`{name}`") for name, _, _ in columns)).orderBy(*keys)
 
-    def narrow(self) -> dict[str, DataFrame]:
+    def wide(self, selected: list[str] | None = None, with_path: bool = False) -> DataFrame:
+        """timestamp and a column for each signal (or each selected one), the last update of each timestamp of each log.
+
+        Logs are not merged: with_path tells their rows apart.
+        """
+        return self._sparse(self._columns(selected), selected, None, with_path)
+
+    def narrow(self, with_path: bool = False) -> dict[str, DataFrame]:
         """A table for the custom signals and one for each device, with source_sequence."""
-        rows = self.signals().select("raw_id", "name", "signal_type", F.coalesce(F.concat(F.lit("device/"), F.col("device")), F.lit("custom")).alias("grp")).collect()
-        tb.check_names([r["name"] for r in rows])
-        u = self.updates().withColumn("string", F.coalesce("string", F.make_valid_utf8(F.col("raw").cast("string"))))
-        out = {}
-        for g in sorted({r["grp"] for r in rows}):
-            own = [r for r in rows if r["grp"] == g]
-            cols = [F.max_by(F.when(F.col("raw_id") == r["raw_id"], F.col(r["signal_type"])), F.when(F.col("raw_id") == r["raw_id"], F.col("decoded_offset"))).alias(r["name"]) for r in own]
-            out[g] = u.where(F.col("raw_id").isin([r["raw_id"] for r in own])).groupBy(F.col("timestamp_us").alias("timestamp")).agg(F.max("decoded_offset").alias("source_sequence"), *cols).orderBy("timestamp")
-        return out
+        columns = self._columns()
+        groups = {g: [c for c in columns if c[2] == g] for g in sorted({c[2] for c in columns})}
+        return {g: self._sparse(own, None, "source_sequence", with_path) for g, own in groups.items()}
+
+    def batches(self, rows: int, call, selected: list[str] | None = None, with_path: bool = False) -> pa.Schema:
+        """call(Arrow table) with just rows rows of wide() each, in order, the last with fewer; the table's schema."""
+        table = self.wide(selected, with_path)
+        tb.batches(table, rows, call)
+        return tb.to_arrow_schema(table.schema)
+
+    def narrow_batches(self, rows: int, call, with_path: bool = False) -> pa.Schema:
+        """call(group, Arrow table) with batches of each table of narrow(), group after group; the schema of their union."""
+        tables = self.narrow(with_path)
+        for group, table in tables.items():
+            tb.batches(table, rows, lambda batch: call(group, batch))  # noqa: B023 - called at once
+        return tb.to_arrow_schema(tb.union_narrow(list(tables.values())).schema) if tables else pa.schema([("timestamp", pa.int64()), ("source_sequence", pa.int64())])
 
     def unsupported(self) -> DataFrame:
-        """Rolled-up records of classes other than 7 that nothing decodes."""
-        keys = enabled_frames(self.frames, self.devices).select("path", "decoded_offset")
-        rest = self.frames.where(F.col("record_class") != bits.CUSTOM_CLASS).join(keys, ["path", "decoded_offset"], "left_anti")
-        return fr.unsupported_rollup(rest)
+        """Records of classes other than 7 that nothing decodes, rolled up for each log."""
+        keys = ["path", "arbitration_id", "record_class", "length"]
+        known = enabled_frames(self.frames, self.devices).select(*keys).distinct()  # what decodes depends on nothing else
+        rest = self.frames.where(F.col("record_class") != bits.CUSTOM_CLASS).withColumn("length", F.octet_length("payload"))
+        return fr.unsupported_rollup(rest.join(known, keys, "left_anti"), ["path"])
 
     def report(self) -> dict:
         """Counters, timestamps' range and disorder, devices, signals and unsupported records."""
         counts = self.frames.agg(F.count("*").alias("raw_frames"), F.count_if(F.col("record_class") == bits.CUSTOM_CLASS).alias("custom_frames")).first()
-        data = custom_records(self.frames).where(F.col("subtype") == DATA).select("path", "timestamp_us", "decoded_offset").unionByName(_device_frames(self.frames).select("path", "timestamp_us", "decoded_offset"))
-        d = fr.disorder(data, "timestamp_us", "decoded_offset", ["path"]).agg(F.min("min_timestamp").alias("min_timestamp"), F.max("max_timestamp").alias("max_timestamp"), F.sum("out_of_order_frames").alias("out_of_order_frames"), F.max("max_out_of_order_us").alias("max_out_of_order_us")).first()
+        at = ["path", "timestamp_us", "decoded_offset"]
+        data = custom_records(self.frames).where(F.col("subtype") == DATA).select(*at).unionByName(_device_frames(self.frames).select(*at))
+        of_logs = fr.disorder(data, "timestamp_us", "decoded_offset", by=["path"])
+        ends = [F.min("min_timestamp").alias("min_timestamp"), F.max("max_timestamp").alias("max_timestamp")]
+        d = of_logs.agg(*ends, F.sum("out_of_order_frames").alias("out_of_order_frames"), F.max("max_out_of_order_us").alias("max_out_of_order_us")).first()
         out = counts.asDict() | {k: v if v is not None or k.startswith("m") and k.endswith("timestamp") else 0 for k, v in d.asDict().items()}
         return out | {n: [r.asDict() for r in df.collect()] for n, df in (("signals", self.signals()), ("devices", self.devices), ("unsupported", self.unsupported()))}
 
+    def check_order(self, window: int, most: int) -> int:
+        """The most timestamps of a log that wait at once in a re-sequencing buffer, its window widened to the log's own disorder."""
+        u = self.updates()
+        measured = fr.disorder(u, "timestamp_us", "decoded_offset", by=["path"]).agg(F.max("max_out_of_order_us")).first()[0] or 0
+        return fr.require_buffer(u, fr.effective_window(window, measured), most, ts="timestamp_us", seq="decoded_offset", by=["path"])
 
-def open_log(spark: SparkSession, path: str, tail: str = "lenient", codebook: str = "") -> Log:
-    from driftframe.sources.siglog import read_logs
 
-    return Log(read_logs(spark, path, "frames", tail, codebook), read_logs(spark, path, "header", tail, codebook))
+def open_log(spark: SparkSession, path: str, tail: str = "lenient", codebook: str = "") -> Log:
+    """The log or logs at path: by the data source where the session's executors are this machine and the path is a file here."""
+    local = os.path.exists(path) and spark.sparkContext.master.startswith("local")
+    read = siglog.scan if local else siglog.read_logs
+    return Log(read(spark, path, "frames", tail, codebook), read(spark, path, "header", tail, codebook))

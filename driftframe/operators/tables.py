@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftframe.errors import SchemaError
+from driftframe.errors import InvalidArgument, SchemaError
 
 RESERVED = ("timestamp", "source_sequence")
 
@@ -44,16 +48,20 @@ def wide(updates: DataFrame, signals: list, by: tuple[str, ...] = ("timestamp",)
     return out.orderBy(*by) if order else out
 
 
-def wide_by_type(updates: DataFrame, arms: dict[str, list], by: tuple[str, ...] = ("timestamp",), key: str = "signal", seq: str = "seq") -> DataFrame:
-    """wide() over updates with one value column for each physical type: a pivot for each column of arms, joined on by."""
-    out = None
-    for value, signals in arms.items():
-        if signals:
-            part = wide(updates, signals, by, key, value, seq, order=False)
-            out = part if out is None else out.join(part, list(by), "full")
-    if out is None:
+def sparse(updates: DataFrame, arms: dict[str, list], by: tuple[str, ...] = ("timestamp",), key: str = "signal", seq: str = "seq", sequence: str | None = None) -> DataFrame:
+    """wide() over updates with one value column for each physical type: arms has the signals whose value is in each.
+
+    One pass for any number of signals: the last update of each signal first, aggregated before the shuffle, then the row of them.
+    sequence names a column for the largest seq of the row. Rows come in no order.
+    """
+    of = {s: arm for arm, signals in arms.items() for s in signals}
+    if not of:
         raise SchemaError("no signal selected")
-    return out.orderBy(*by)
+    kept = updates.where(F.col(key).isin(list(of)))
+    last = kept.groupBy(*by, key).agg(F.max_by(F.struct(*arms), seq).alias("x"), F.max(seq).alias("s"))
+    rows = last.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(key, "x"))).alias("m"), F.max("s").alias("s"))
+    extra = [F.col("s").alias(sequence)] if sequence else []
+    return rows.select(*by, *extra, *(F.try_element_at("m", F.lit(s))[arm].alias(str(s)) for s, arm in of.items()))
 
 
 def narrow(updates: DataFrame, group: str, signals: list, group_col: str = "device", by: str = "timestamp", key: str = "signal", value: str = "value", seq: str = "seq", order: bool = True) -> DataFrame:
@@ -78,8 +86,8 @@ def union_narrow(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def forward_fill(table: DataFrame, columns: list[str], order: list[str], by: list[str] = ()) -> DataFrame:
-    """Each of columns carried on from the last row, in order within by, that has a value."""
+def forward_fill(table: DataFrame, columns: list[str], order: list[str], by: list[str]) -> DataFrame:
+    """Each of columns carried on from the last row, in order within by, that has a value. What by keeps together is one task's work."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return table.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
@@ -90,19 +98,16 @@ def collapse_equal(table: DataFrame, timestamp: str = "timestamp", sequence: str
     return table.groupBy(*by, timestamp).agg(F.max_by(F.struct(*rest), sequence).alias("x")).select(*by, timestamp, "x.*")
 
 
-def batches(table: DataFrame, rows: int, call) -> None:
-    """call(pandas frame) with just rows rows each, the last with fewer; an exception ends it. One partition at a time is held."""
-    import pandas as pd
+def batches(table: DataFrame, rows: int, call) -> int:
+    """call(Arrow table) with just rows rows each, in order, the last with fewer; an exception ends it. How many rows there were.
 
+    The driver holds a batch and a partition of the table's rows at a time.
+    """
     if rows < 1:
-        from driftframe.errors import InvalidArgument
-
         raise InvalidArgument("rows per batch must be positive")
-    held: list = []
-    for row in table.toLocalIterator():
-        held.append(row)
-        if len(held) == rows:
-            call(pd.DataFrame(held, columns=table.columns))
-            held = []
-    if held:
-        call(pd.DataFrame(held, columns=table.columns))
+    schema, n = to_arrow_schema(table.schema), 0
+    found = map(tuple, table.toLocalIterator())
+    while held := list(islice(found, rows)):
+        call(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema))
+        n += len(held)
+    return n

@@ -12,7 +12,7 @@ from driftframe.operators.logs import Log
 from driftframe.sources import siglog, wire
 
 #: A log holds the suppliers of so many keys.
-KEYS = 10_000
+KEYS = 50
 
 
 def record(header: int, timestamp: int, delta: bytes) -> bytes:
@@ -30,12 +30,6 @@ def sample_log(events: list[tuple[int, float]], book: wire.Codebook | None = Non
     return wire.make_header() + (book or wire.codebook()).encode(out)
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> bytes:
-    """A log of 50 suppliers, as log_wide's SQL has them."""
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").orderBy("s_suppkey").select("s_suppkey", "s_acctbal").limit(50).collect()
-    return sample_log([(int(r[0]) * 1000, float(r[1])) for r in rows])
-
-
 def logs_of_suppliers(spark: SparkSession, sf_dir: str, keys: int | None = None) -> DataFrame:
     """(path, content): all suppliers, as one log for each range of so many keys."""
     words = siglog.code_words()
@@ -52,24 +46,56 @@ def logs_of_suppliers(spark: SparkSession, sf_dir: str, keys: int | None = None)
     return rows.select(F.concat(F.lit("suppliers-"), F.col("part").cast("string")).alias("path"), "events").mapInArrow(run, "path string, content binary")
 
 
+def log_of_suppliers(spark: SparkSession, sf_dir: str) -> Log:
+    files = logs_of_suppliers(spark, sf_dir)
+    return Log(siglog.decode(files), siglog.decode(files, "header"))
+
+
 def log_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return siglog.decode(logs_of_suppliers(spark, sf_dir)).select("decoded_offset", "header", "record_class", "timestamp_us", F.lower(F.hex("payload")).alias("payload"))
+    """All physical records of all logs."""
+    return siglog.decode(logs_of_suppliers(spark, sf_dir)).select("path", "decoded_offset", "header", "record_class", "timestamp_us", F.lower(F.hex("payload")).alias("payload"))
 
 
 def log_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Log(siglog.from_bytes(spark, _raw(spark, sf_dir))).wide()
+    """The wide table of all logs."""
+    return log_of_suppliers(spark, sf_dir).wide(with_path=True)
+
+
+def log_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrow table of the custom signals of all logs."""
+    return log_of_suppliers(spark, sf_dir).narrow(with_path=True)["custom"]
 
 
 def log_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Log(siglog.decode(logs_of_suppliers(spark, sf_dir))).signals().distinct()  # all logs have the same
+    """The dictionary of each log."""
+    return log_of_suppliers(spark, sf_dir).signals()
+
+
+def log_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of records that nothing decodes, of each log whose records of data are said to be of class 5."""
+    files = siglog.decode(logs_of_suppliers(spark, sf_dir))
+    found = Log(files.withColumn("record_class", F.when(F.col("header") == 0xE0108001, 5).otherwise(F.col("record_class")))).unsupported()
+    return found.select("path", "arbitration_id", "record_class", "payload_len", "count", "first_decoded_offset", F.lower(F.hex("first_payload")).alias("first_payload"))
 
 
 def queries() -> dict:
-    return {"log_frames": log_frames, "log_wide": log_wide, "log_signals": log_signals}
+    return {"log_frames": log_frames, "log_wide": log_wide, "log_narrow": log_narrow, "log_signals": log_signals, "log_unsupported": log_unsupported}
+
+
+#: Payloads are the eight bytes of a double, lowest first; a log's first 22 bytes define x.
+_L = f"""l AS (SELECT 'suppliers-' || (s_suppkey // {KEYS}) AS path, s_suppkey * 1000 + 1 AS ts, s_acctbal AS x,
+  22 + 18 * (row_number() OVER (PARTITION BY s_suppkey // {KEYS} ORDER BY s_suppkey) - 1) AS o, lpad(hex(CAST(s_acctbal::DOUBLE::BIT AS BLOB)), 16, '0') AS h FROM supplier
+), p AS (SELECT *, lower(list_reduce(list_transform([1, 3, 5, 7, 9, 11, 13, 15], lambda i: substr(h, i, 2)), lambda a, b: b || a)) AS payload FROM l)"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "log_wide": "SELECT s_suppkey * 1000 + 1 AS timestamp, s_acctbal AS x FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 50)",
-        "log_signals": """SELECT 130816::BIGINT AS raw_id, 'x' AS name, 'float64' AS signal_type, 'double' AS original_type, 'V' AS units, '{"units": "V"}' AS metadata, 'custom' AS source, 'full' AS support, NULL::VARCHAR AS device, 0::BIGINT AS definition_decoded_offset""",
+        "log_frames": f"""WITH {_L} SELECT path, o AS decoded_offset, {0xE0108001} AS header, 7 AS record_class, ts AS timestamp_us, payload FROM p
+  UNION ALL SELECT DISTINCT path, 0, {0xE1101001}, 7, 1, '78' FROM p UNION ALL SELECT DISTINCT path, 11, {0xE2101001}, 7, 1, '56' FROM p""",
+        "log_wide": f"WITH {_L} SELECT path, ts AS timestamp, x FROM l",
+        "log_narrow": f"WITH {_L} SELECT path, ts AS timestamp, o AS source_sequence, x FROM l",
+        "log_signals": f"""WITH {_L} SELECT DISTINCT path, 130816::BIGINT AS raw_id, 'x' AS name, 'float64' AS signal_type, 'double' AS original_type, 'V' AS units, '{{"units": "V"}}' AS metadata,
+  'custom' AS source, 'full' AS support, NULL::VARCHAR AS device, 0::BIGINT AS definition_decoded_offset, 'Simulation' AS bus FROM l""",
+        "log_unsupported": f"""WITH {_L} SELECT path, {0xE0108001 & 0x1FFFFFFF} AS arbitration_id, 5 AS record_class, 8 AS payload_len, count(*) AS count, min(o) AS first_decoded_offset, arg_min(payload, o) AS first_payload
+  FROM p GROUP BY path""",
     }

@@ -61,8 +61,13 @@ _cols = ", ".join(f"arg_max(value, seq) FILTER (WHERE signal = '{s}') AS {s}" fo
 _two = ", ".join(f"arg_max(value, seq) FILTER (WHERE signal = '{s}') AS {s}" for s in SIGNALS[:2])
 
 
+_has = {s: ", ".join(f"'dev-{i}'" for i in range(4) if s in SIGNALS[i : i + 2]) for s in SIGNALS}
+_four = ", ".join(f"arg_max(value, seq) FILTER (WHERE signal = '{s}' AND device IN ({g})) AS {s}" for s, g in _has.items())
+_owned = " OR ".join(f"signal = '{s}' AND device IN ({g})" for s, g in _has.items())
+
+
 def _narrow_union(spark, d):
-    groups = {"dev-0": SIGNALS[:2], "dev-1": SIGNALS[1:3]}
+    groups = {f"dev-{i}": SIGNALS[i : i + 2] for i in range(4)}
     made = tb.narrow_all(updates(spark, d), groups, order=False)
     return tb.union_narrow([made[g].select(F.lit(g).alias("device"), "*") for g in sorted(made)])
 
@@ -78,10 +83,15 @@ def _versions(spark, d):
     return fr.version_rollup(u.select("device", "signal", version, (F.col("event_id") % 5 == 0).alias("pro")), ["device", "signal"])
 
 
+GROUPS = list(catalog.GROUPS)
+
+
 def _unpivot(spark, d):
+    """The fields of every word; its group goes by its order and line."""
     raw = F.expr("shiftrightunsigned(word, shift) & (shiftleft(1L, width) - 1)")
-    w = words(spark, d).where("l_linenumber = 1").withColumn("grp", F.lit("MOTOR_OUTPUT"))
-    return w.join(F.broadcast(catalog.definitions(spark)), "grp").select("l_orderkey", "spn", "column", raw.alias("raw"))
+    n = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(len(GROUPS))).cast("int")
+    w = words(spark, d).withColumn("grp", F.element_at(F.array(*map(F.lit, GROUPS)), n + 1))
+    return w.join(F.broadcast(catalog.definitions(spark)), "grp").select("l_orderkey", "l_linenumber", "grp", "spn", "column", raw.alias("raw"))
 
 
 def _enum(spark, d):
@@ -146,7 +156,7 @@ def _reset(spark, d):
 
 def _float_bits(spark, d):
     b = bits.extract("word", 20, 32)
-    return words(spark, d).select("l_orderkey", "l_linenumber", F.when(bits.extract(b, 23, 8) == 255, F.lit(None)).otherwise(bits.float_from_bits(b)).alias("value"))
+    return words(spark, d).select("l_orderkey", "l_linenumber", bits.float_from_bits(b).alias("value"))
 
 
 _B = "((word >> 20) & 4294967295)"
@@ -155,7 +165,7 @@ QUERIES = {
     "sparse_selected": (lambda s, d: tb.wide(updates(s, d), tb.check_names(SIGNALS, ["click", "error"])), f"WITH {U} SELECT timestamp, {_two} FROM u WHERE signal IN ('click', 'error') GROUP BY timestamp"),
     "narrow_group_custom": (lambda s, d: tb.narrow(updates(s, d).withColumn("device", F.lit("custom")), "custom", SIGNALS), f"WITH {U} SELECT timestamp, max(seq) AS source_sequence, {_cols} FROM u GROUP BY timestamp"),
     "narrow_device": (lambda s, d: tb.narrow(updates(s, d), "dev-1", SIGNALS), f"WITH {U} SELECT timestamp, max(seq) AS source_sequence, {_cols} FROM u WHERE device = 'dev-1' GROUP BY timestamp"),
-    "narrow_union": (_narrow_union, f"WITH {U} SELECT device, timestamp, max(seq) AS source_sequence, arg_max(value, seq) FILTER (WHERE signal = 'click' AND device = 'dev-0') AS click, arg_max(value, seq) FILTER (WHERE signal = 'error') AS error, arg_max(value, seq) FILTER (WHERE signal = 'purchase' AND device = 'dev-1') AS purchase FROM u WHERE device = 'dev-0' AND signal IN ('click', 'error') OR device = 'dev-1' AND signal IN ('error', 'purchase') GROUP BY device, timestamp"),
+    "narrow_union": (_narrow_union, f"WITH {U} SELECT device, timestamp, max(seq) AS source_sequence, {_four} FROM u WHERE {_owned} GROUP BY device, timestamp"),
     "forward_fill": (_filled, f"WITH {U}, t AS (SELECT device, timestamp, {_cols} FROM u GROUP BY device, timestamp) SELECT device, timestamp, " + ", ".join(f"last_value({s} IGNORE NULLS) OVER (PARTITION BY device ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS {s}" for s in SIGNALS) + " FROM t"),
     "collapse_equal_ts": (lambda s, d: tb.collapse_equal(updates(s, d).select("timestamp", F.col("seq").alias("source_sequence"), "signal", "value")), f"WITH {U} SELECT timestamp, seq AS source_sequence, signal, value FROM u QUALIFY row_number() OVER (PARTITION BY timestamp ORDER BY seq DESC) = 1"),
     "disorder_stats": (lambda s, d: fr.disorder(updates(s, d), "us", by=["device"]), f"WITH {U}, m AS (SELECT *, max(us) OVER (PARTITION BY device ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM u) SELECT device, min(us) AS min_timestamp, max(us) AS max_timestamp, count(*) FILTER (WHERE us < b) AS out_of_order_frames, coalesce(max(b - us) FILTER (WHERE us < b), 0) AS max_out_of_order_us FROM m GROUP BY device"),
@@ -175,7 +185,7 @@ QUERIES = {
     "bitfield_unsigned": (lambda s, d: words(s, d).select("l_orderkey", "l_linenumber", bits.extract("word", 21, 17).alias("field")), f"WITH {W} SELECT l_orderkey, l_linenumber, (word >> 21) & 131071 AS field FROM w"),
     "bitfield_signed": (lambda s, d: words(s, d).select("l_orderkey", "l_linenumber", bits.sign_extend(bits.extract("word", 20, 10), 10).alias("field")), f"WITH {W} SELECT l_orderkey, l_linenumber, CASE WHEN ((word >> 20) & 1023) >= 512 THEN ((word >> 20) & 1023) - 1024 ELSE (word >> 20) & 1023 END AS field FROM w"),
     "bitfield_scaled": (lambda s, d: words(s, d).select("l_orderkey", "l_linenumber", bits.scaled(bits.extract("word", 30, 10), 0.025, 4.0).alias("field")), f"WITH {W} SELECT l_orderkey, l_linenumber, ((word >> 30) & 1023)::DOUBLE * 0.025::DOUBLE + 4.0::DOUBLE AS field FROM w"),
-    "float_from_bits": (_float_bits, f"WITH {W}, b AS (SELECT l_orderkey, l_linenumber, {_B} >> 31 AS s, ({_B} >> 23) & 255 AS e, {_B} & 8388607 AS f FROM w) SELECT l_orderkey, l_linenumber, CASE WHEN e = 255 THEN NULL WHEN e = 0 THEN (CASE s WHEN 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * f::DOUBLE * pow(2.0::DOUBLE, -149) ELSE (CASE s WHEN 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * (1.0::DOUBLE + f / 8388608.0::DOUBLE) * pow(2.0::DOUBLE, e - 127) END AS value FROM b"),
+    "float_from_bits": (_float_bits, f"WITH {W}, b AS (SELECT l_orderkey, l_linenumber, {_B} >> 31 AS s, ({_B} >> 23) & 255 AS e, {_B} & 8388607 AS f FROM w) SELECT l_orderkey, l_linenumber, CASE WHEN e = 255 THEN CASE WHEN f <> 0 THEN 'NaN'::DOUBLE WHEN s = 1 THEN '-Infinity'::DOUBLE ELSE 'Infinity'::DOUBLE END WHEN e = 0 THEN (CASE s WHEN 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * f::DOUBLE * pow(2.0::DOUBLE, -149) ELSE (CASE s WHEN 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * (1.0::DOUBLE + f / 8388608.0::DOUBLE) * pow(2.0::DOUBLE, e - 127) END AS value FROM b"),
     "dlc_length": (lambda s, d: words(s, d).select("l_orderkey", "l_linenumber", bits.dlc_length(bits.extract("word", 20, 4)).alias("bytes")), f"WITH {W} SELECT l_orderkey, l_linenumber, [{', '.join(map(str, bits.DLC_LENGTHS))}][((word >> 20) & 15) + 1]::INTEGER AS bytes FROM w"),
     "custom_header_fields": (_fields, f"WITH {W}, h AS (SELECT *, word & 4294967295 AS h FROM w), x AS (SELECT *, (h >> 8) & 65535 AS desc_, h & 255 AS i FROM h) SELECT l_orderkey, l_linenumber, i AS signal_index, (desc_ & 15) = 0 AND i <> 0 AS descriptor_ok, ((desc_ >> 4) // 64) * 4 AS type_code, (desc_ >> 4) % 64 AS exact_length, (h >> 24) & 31 AS subtype FROM x"),
     "enum_text": (_enum, _enum_sql()),
@@ -196,8 +206,9 @@ QUERIES = {
 
 
 def _unpivot_sql() -> str:
-    rows = ", ".join(f"({d.spn}, '{d.column}', {d.shift}, {d.width})" for d in catalog.DEFINITIONS if d.group == "MOTOR_OUTPUT")
-    return f"WITH {W} SELECT l_orderkey, spn, \"column\", (word >> shift) & ((1::BIGINT << width) - 1) AS raw FROM w, (VALUES {rows}) AS t(spn, \"column\", shift, width) WHERE l_linenumber = 1"
+    rows = ", ".join(f"({GROUPS.index(d.group)}, '{d.group}', {d.spn}, '{d.column}', {d.shift}, {d.width})" for d in catalog.DEFINITIONS)
+    raw = "(word >> shift) & ((1::BIGINT << width) - 1)"  # fields of 64 - shift bits would need an unsigned shift: words are not negative here
+    return f"WITH {W} SELECT l_orderkey, l_linenumber, grp, spn, \"column\", {raw} AS raw FROM w JOIN (VALUES {rows}) AS t(n, grp, spn, \"column\", shift, width) ON n = (l_orderkey + l_linenumber) % {len(GROUPS)}"
 
 
 def queries() -> dict:

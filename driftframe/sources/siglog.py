@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 
 from driftframe import errors
 from driftframe.sources import wire
+from driftframe.sources.session import copied, small_batches
 
 FRAMES = (
     "path string, decoded_offset long, compressed_byte_offset long, compressed_bit int, header long, arbitration_id long, record_class int, "
@@ -19,6 +21,10 @@ FRAMES = (
 HEADERS = "path string, source string, reserved binary, compliancy int, format_flags int, start_time_unix_seconds long, size long"
 TAILS = "path string, record_offset long, available int, needed int, missing_end_marker boolean, bit long"
 VIEWS = {"frames": FRAMES, "header": HEADERS, "tail": TAILS}
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+SCHEMAS = {view: pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in text.split(", ")]) for view, text in VIEWS.items()}
+#: Rows of an Arrow batch that leaves the decoder; whole logs that go to Python at once, and about how many bytes of them.
+ROWS, FILES, FILE_BYTES = 20_000, 64, 64 << 20
 
 
 def rows_of(path: str, raw: bytes, view: str, tail: str, book: wire.Codebook) -> Iterator[tuple]:
@@ -34,6 +40,12 @@ def rows_of(path: str, raw: bytes, view: str, tail: str, book: wire.Codebook) ->
         yield (path, *reader.tail)
 
 
+def batches_of(rows: Iterator[tuple], view: str) -> Iterator[pa.RecordBatch]:
+    """rows as Arrow batches of at most ROWS rows."""
+    while held := list(islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), SCHEMAS[view].types)], schema=SCHEMAS[view])
+
+
 class File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -70,9 +82,8 @@ class LogReader(DataSourceReader):
         at = {"arbitration_id": 5, "record_class": 6}
         with open(partition.path, "rb") as f:
             raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if f.seek(0, 2) else b""
-            for row in rows_of(partition.path, raw[:], self.view, self.tail, book):
-                if all(row[at[k]] == v for k, v in self.wanted.items()):
-                    yield row
+            rows = rows_of(partition.path, raw, self.view, self.tail, book)
+            yield from batches_of((r for r in rows if all(r[at[k]] == v for k, v in self.wanted.items())), self.view)
 
 
 class LogSource(DataSource):
@@ -93,10 +104,17 @@ class LogSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes the format siglog known; filters reach it where the session has spark.sql.python.filterPushdown.enabled."""
     spark.dataSource.register(LogSource)
 
 
+def scan(spark: SparkSession, path: str, view: str = "frames", tail: str = "strict", codebook: str = "") -> DataFrame:
+    """The view of the logs at a path that every executor can open: memory-mapped, of any size, filters pushed down."""
+    register(spark)
+    found = spark.read.format("siglog").option("view", view).option("tail", tail).option("codebook", codebook).load(path)
+    return copied(found, spark__sql__python__filterPushdown__enabled="true")
+
+
 def code_words(codebook: str = "") -> str:
     """The codebook as text that tasks can take along: executors have no codebook file."""
     return " ".join(f"{s:02x}:{b}" if s < 256 else f"EOS:{b}" for s, b in wire.codebook(codebook).words.items())
@@ -105,31 +123,18 @@ def code_words(codebook: str = "") -> str:
 def decode(files: DataFrame, view: str = "frames", tail: str = "strict", codebook: str = "") -> DataFrame:
     """The view of logs given as rows (path, content), one task's rows a log at a time."""
     words = code_words(codebook)
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    import re
-
-    names = [re.split(r"\s+", c.strip())[0] for c in VIEWS[view].split(",")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
-    types = [kinds[re.split(r"\s+", c.strip())[1]] for c in VIEWS[view].split(",")]
 
     def run(batches):
         book = wire.Codebook(words)
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held: list[tuple] = []
-                for row in rows_of(path, raw, view, tail, book):
-                    held.append(row)
-                    if len(held) == 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+                yield from batches_of(rows_of(path, raw, view, tail, book), view)
 
-    return files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, VIEWS[view])
+    return small_batches(files.select(F.col("path").cast("string"), F.col("content").cast("binary")), FILES, FILE_BYTES).mapInArrow(run, VIEWS[view])
 
 
 def read_logs(spark: SparkSession, path: str, view: str = "frames", tail: str = "strict", codebook: str = "") -> DataFrame:
-    """The view of all logs at a path that Spark can read, local or remote."""
+    """The view of all logs of up to 2 GB each at a path that Spark can read, local or remote; scan() has no such limit."""
     return decode(spark.read.format("binaryFile").load(path), view, tail, codebook)
 
 

@@ -6,67 +6,78 @@ stream; here a late row is an error and an end marker flushes what waits. State
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from driftframe import errors
+from driftframe.operators.frames import effective_window
 
 SCHEMA = "path string, timestamp long, source_sequence long, signals string"
 STATE = "latest long, emitted long, waiting string"
 
 
 class Buffer:
-    """Waiting rows of one log: timestamp -> [largest offset, {signal: [offset, value]}]."""
+    """Waiting rows of one log: timestamp -> [largest offset, {signal: [offset, value]}], and a heap of the timestamps."""
 
     def __init__(self, window: int, most: int, latest: int | None = None, emitted: int | None = None, waiting: dict | None = None):
         if window < 0 or most < 1:
             raise errors.InvalidArgument("the window must not be negative, and the buffer must hold a row")
         self.window, self.most, self.latest, self.emitted, self.waiting = window, most, latest, emitted, waiting or {}
+        self.order = sorted(self.waiting)
 
     def accept(self, ts: int, signal: str, value, offset: int) -> list[tuple]:
         """Takes an update and returns the rows that are then ready."""
         if self.emitted is not None and ts <= self.emitted:
             raise errors.LateTimestamp(f"{ts} after {self.emitted} was emitted", timestamp=ts, emitted_through=self.emitted)
+        if ts not in self.waiting:
+            heapq.heappush(self.order, ts)
         row = self.waiting.setdefault(ts, [offset, {}])
         row[0] = max(row[0], offset)
         if signal not in row[1] or row[1][signal][0] <= offset:
             row[1][signal] = [offset, value]
         self.latest = ts if self.latest is None else max(self.latest, ts)
-        ready = self.pop([t for t in self.waiting if self.latest - t > self.window])
+        ready = self.pop(self.latest - self.window)
         if len(self.waiting) > self.most:
             raise errors.ReorderBufferLimit(f"{len(self.waiting)} timestamps waiting, {self.most} allowed", pending=len(self.waiting), limit=self.most)
         return ready
 
-    def pop(self, timestamps: list[int]) -> list[tuple]:
+    def pop(self, before: int | None = None) -> list[tuple]:
+        """The rows of timestamps below before, or all."""
         out = []
-        for t in sorted(timestamps):
+        while self.order and (before is None or self.order[0] < before):
+            t = heapq.heappop(self.order)
             offset, signals = self.waiting.pop(t)
-            out.append((t, offset, json.dumps({s: v[1] for s, v in sorted(signals.items())})))
+            out.append((t, offset, {s: v[1] for s, v in sorted(signals.items())}))
             self.emitted = t
         return out
 
     def flush(self) -> list[tuple]:
-        return self.pop(list(self.waiting))
+        return self.pop()
 
 
-def resequenced(updates: DataFrame, window: int = 5_000_000, most: int = 100_000) -> DataFrame:
+def resequenced(updates: DataFrame, window: int = 5_000_000, most: int = 100_000, regression: int = 0) -> DataFrame:
     """(path, timestamp, source_sequence, signals as JSON) of a streaming updates (path, timestamp, signal, value, seq).
 
-    A row leaves once a timestamp more than window later has come. A row with a null timestamp ends its log. Rows of
+    value may have any type: number, text, boolean or array. A row leaves once a timestamp more than window later has come; regression,
+    how far timestamps are known to step back, widens it. A row with a null timestamp ends its log. Rows of
     one micro-batch are taken in order of seq.
     """
+    window = effective_window(window, regression)
 
     def step(key, frames, state):
-        latest, emitted, waiting = state.get if state.exists else (None, None, "{}")
-        held = Buffer(window, most, latest if latest != -1 else None, emitted if emitted != -1 else None, {int(k): v for k, v in json.loads(waiting).items()}) if state.exists else Buffer(window, most)
+        latest, emitted, waiting = state.get if state.exists else (-1, -1, "{}")
+        held = Buffer(window, most, latest if latest != -1 else None, emitted if emitted != -1 else None, {int(k): v for k, v in json.loads(waiting).items()})
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         out: list[tuple] = []
         for ts, signal, value, seq in zip(rows["timestamp"], rows["signal"], rows["value"], rows["seq"]):
-            out += held.flush() if pd.isna(ts) else held.accept(int(ts), signal, None if pd.isna(value) else float(value), int(seq))
+            out += held.flush() if pd.isna(ts) else held.accept(int(ts), signal, json.loads(value).get("value"), int(seq))
         state.update((-1 if held.latest is None else held.latest, -1 if held.emitted is None else held.emitted, json.dumps(held.waiting)))
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=["path", "timestamp", "source_sequence", "signals"])
+        yield pd.DataFrame([(key[0], t, s, json.dumps(x)) for t, s, x in out], columns=["path", "timestamp", "source_sequence", "signals"])
 
-    return updates.groupBy("path").applyInPandasWithState(step, SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = updates.withColumn("value", F.to_json(F.struct("value")))  # one column for any type
+    return rows.groupBy("path").applyInPandasWithState(step, SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)

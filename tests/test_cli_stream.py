@@ -24,6 +24,50 @@ def test_cli(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split() == ["7", "78", "1", "1"]
 
 
+def test_one_file_and_selection(spark, tmp_path, capsys):
+    import pyarrow.parquet as pq
+    from test_wire import LOG
+
+    path, out = tmp_path / "a.log", tmp_path / "out.parquet"
+    path.write_bytes(LOG)
+    assert cli.main(["convert", str(path), str(out), "--rows-per-batch", "1", "--signals", "x"]) == 0
+    found = pq.ParquetFile(out)
+    assert found.num_row_groups == 2 and found.read().to_pylist() == [{"timestamp": 937511, "x": 1.0}, {"timestamp": 968018, "x": 2.0}]
+    assert cli.main(["convert", str(path), str(out), "--rows-per-batch", "0"]) == 1
+    assert cli.main(["convert", str(path), str(out), "--signals", "missing"]) == 1
+    assert pq.ParquetFile(out).num_row_groups == 2 and [p.name for p in tmp_path.iterdir() if "tmp" in p.name] == []
+    capsys.readouterr()
+    assert cli.main(["info", str(path)]) == 0
+    assert "physical frames: 5" in capsys.readouterr().out
+    assert cli.main(["schema", str(path)]) == 0
+    assert json.loads(capsys.readouterr().out)["signals"][0]["bus"] == "Simulation"
+
+
+def test_a_bad_descriptor_is_named(spark, tmp_path, capsys):
+    from driftframe.plans.logs import record
+    from driftframe.sources import wire
+
+    path = tmp_path / "bad.log"
+    path.write_bytes(wire.make_header() + wire.codebook().encode(record(0xE1000101, 0, b"x")))
+    assert cli.main(["convert", str(path), str(tmp_path / "out")]) == 1
+    assert "InvalidCustomDescriptor" in capsys.readouterr().err and not (tmp_path / "out").exists()
+    path.write_bytes(wire.make_header() + wire.codebook().encode(record(0xE0108001, 5, bytes(8))))
+    assert cli.main(["convert", str(path), str(tmp_path / "out")]) == 1
+    assert "MissingSignalDefinition" in capsys.readouterr().err
+
+
+def test_values_of_other_types_pass_the_stream(spark, tmp_path):
+    schema, src = "path string, timestamp long, signal string, value array<string>, seq long", str(tmp_path / "in")
+    spark.createDataFrame([("l", 2, "s", ["a", "b"], 1), ("l", 1, "s", None, 2), ("l", None, None, None, 3)], schema).coalesce(1).write.parquet(src)
+    found = resequenced(spark.readStream.schema(schema).parquet(src), 0, regression=5)
+    q = found.writeStream.format("memory").queryName("texts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [(r["timestamp"], r["signals"]) for r in spark.sql("select * from texts").collect()] == [(1, '{"s": null}'), (2, '{"s": ["a", "b"]}')]
+
+
 def test_stream(spark, tmp_path):
     schema = "path string, timestamp long, signal string, value double, seq long"
     src = str(tmp_path / "in")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,10 +51,38 @@ def test_header_gates():
 def test_code_round_trip():
     book = wire.codebook()
     data = bytes(range(256)) * 2
-    d, out = wire.Decoder(book.encode(data), book), []
-    while (b := d.next()) is not None:
-        out.append(b)
-    assert bytes(out) == data and d.ended
+    d = wire.Decoder(book.encode(data), book)
+    assert not d.fill(1 << 20) and bytes(d.out) == data and d.ended
+    for i in (0, 1, 100, 511):  # code words stand one after the other
+        assert d.bit_of(i) == sum(len(book.words[x]) for x in data[:i])
+
+
+def test_size_limit():
+    book = wire.codebook()
+    raw = wire.make_header() + book.encode(bytes(1000))
+    assert wire.decode_body(raw, 1000) == bytes(1000)
+    with pytest.raises(errors.DecodedSizeLimit):
+        wire.decode_body(raw, 999)
+
+
+def test_long_logs_are_read_in_pieces(monkeypatch):
+    rng, out = random.Random(1), b""
+    for i in range(3000):
+        n = rng.choice(wire.DLC_LENGTHS[:9])
+        out += (0x100 + i % 7).to_bytes(4, "little") + i.to_bytes(5, "little") + bytes([wire.DLC_LENGTHS.index(n) << 4]) + rng.randbytes(n)
+    raw = wire.make_header() + wire.codebook().encode(out)
+    whole = list(wire.Reader(raw).frames())
+    monkeypatch.setattr(wire, "PIECE", 50)
+    assert list(wire.Reader(raw).frames()) == whole and len(whole) == 3000 and whole[-1].timestamp_us == 3000
+    assert [f.compressed_byte_offset for f in whole] == sorted(f.compressed_byte_offset for f in whole)
+
+
+def test_end_marker_inside_a_record():
+    raw = wire.make_header() + wire.codebook().encode(bytes(15))
+    with pytest.raises(errors.TruncatedRecord):
+        list(wire.Reader(raw).frames())
+    reader = wire.Reader(raw, "lenient")
+    assert len(list(reader.frames())) == 1 and reader.tail[:4] == (10, 5, 10, False)
 
 
 @settings(max_examples=60, deadline=None)
