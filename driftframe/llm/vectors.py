@@ -7,8 +7,6 @@ inequality holds for it. Vectors of fewer components than others count as ending
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,15 +31,6 @@ def batch_arrays(b: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]
     return ids, out
 
 
-def packed(ids: np.ndarray, x: np.ndarray) -> tuple[bytes, bytes]:
-    return np.ascontiguousarray(ids, "<i8").tobytes(), np.ascontiguousarray(x, "<f8").tobytes()
-
-
-def unpacked(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(x, "<f8").reshape(len(i), -1)
-
-
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
     if len(scores) > 4 * k:
@@ -50,21 +39,3 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     else:
         at = np.arange(len(scores))
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
-
-
-def ranked(found: DataFrame, k: int, score_type: str) -> DataFrame:
-    """(query_id, rank, vec_id, score) from partial results (query_id, vec_id, score): the k best of each query."""
-
-    def top(batches: Iterator[pa.RecordBatch]):
-        parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
-        if not parts:
-            return
-        q, v, s = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((v, -s, q))
-        q, v, s = q[order], v[order], s[order]
-        begin = np.concatenate([[True], np.diff(q) != 0]) if len(q) else np.zeros(0, bool)
-        rank = np.arange(len(q)) - np.maximum.accumulate(np.where(begin, np.arange(len(q)), 0)) + 1
-        kept = rank <= k
-        yield pa.RecordBatch.from_arrays([pa.array(q[kept]), pa.array(rank[kept].astype(np.int32)), pa.array(v[kept]), pa.array(s[kept])], ["query_id", "rank", "vec_id", "score"])
-
-    return found.repartition("query_id").mapInArrow(top, f"query_id long, rank int, vec_id long, score {score_type}")
