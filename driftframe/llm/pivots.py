@@ -2,9 +2,9 @@
 
 Every vector is keyed by its nearest pivot and its distance to it; the vectors of a pivot, sorted by that distance
 and cut into slices, form annuli. A vector's distance to a query is at least the difference of both
-distances to the pivot. A query first searches the slice it falls into itself; the distance of its k-th hit
-then bounds the annuli still to visit, expanded outwards from the query's own distance until
-the bound of the next one exceeds the k-th hit.
+distances to the pivot. A query visits annuli in the order of that bound, which expands outwards from its own distance
+around every pivot at once: one in the first round, STEP times as many in each further one. After a round its k-th hit so far tightens how
+far a hit can be; it stops at the first annulus whose bound is beyond that.
 """
 
 from __future__ import annotations
@@ -14,11 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import partitions, read, saved
-from driftframe.llm.vectors import batch_arrays, best, packed, ranked, unpacked, usable
+from driftframe.llm.shared import delete, read, saved, small, table_path
+from driftframe.llm.vectors import batch_arrays, best, usable
 
-#: Pivots, chosen from a sample of at most so many vectors (those of least hash); vectors of a slice.
-PIVOTS, SAMPLE, SLICE = 32, 4096, 1024
+#: Pivots, chosen from a sample of at most so many vectors (those of least hash); vectors of a slice, or more so that
+#: there are about SLICES slices at most, whose bounds every task knows.
+PIVOTS, SAMPLE, SLICE, SLICES = 32, 4096, 1024, 1 << 18
+#: Queries that go through the rounds together; growth of the number of slices that each visits in a round.
+ASKED, STEP = 1024, 4
+_STATE = "chunk long, ids binary, vs binary, hits binary, scores binary, next binary, visited binary, open long"
 
 
 def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
@@ -48,125 +52,194 @@ def _lengthened(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))[:, None]], axis=1)
 
 
-def top_k(rows: DataFrame, k: int = 5, every: int = 50, sample: int = SAMPLE, slice_size: int = SLICE) -> DataFrame:
+def _packed(x: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(x, kind).tobytes()
+
+
+def _one_row(values: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types)], schema=schema)
+
+
+def _sorted_slices(found: DataFrame, pivots: np.ndarray, width: int, most: float, slice_size: int) -> tuple[DataFrame, DataFrame]:
+    """The keyed vectors, and one row for each slice: slice, pivot, low, high, ids, vs."""
+
+    def keyed(batches):
+        for b in batches:
+            ids, v = batch_arrays(b, width)
+            v = quantised(v)
+            apart = _distances(_lengthened(v, most), pivots)
+            own = apart.argmin(axis=1)
+            cols = [pa.array(ids), pa.array(own.astype(np.int32)), pa.array(apart[np.arange(len(own)), own]), pa.array([r.tobytes() for r in v], pa.binary()), b.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "pivot", "apart", "v", "salt"])
+
+    # rows equal in all are told apart by where they were read: any slice may hold them
+    index = saved(found.withColumn("salt", F.spark_partition_id()).mapInArrow(keyed, "id long, pivot int, apart double, v binary, salt int"), "keyed")
+    # rings of a pivot: cuts at even ranks of its distances, from a histogram; equal distances are told apart by a hash
+    rings = index.groupBy("pivot").agg(F.min("apart").alias("low"), F.max("apart").alias("high"))
+    placed = index.join(F.broadcast(rings), "pivot")  # at most PIVOTS rows
+    coarse = F.least(F.lit(4095), F.floor(4096 * (F.col("apart") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)))).cast("int")
+    placed = placed.withColumn("coarse", coarse).drop("low", "high")
+    heights = placed.groupBy("pivot", "coarse").agg(F.count("*").alias("h"))  # at most 4096 rows for each pivot
+    before = F.coalesce(F.sum("h").over(Window.partitionBy("pivot").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heights = heights.withColumn("ring", F.floor(before / slice_size)).withColumn("parts", F.ceil(F.col("h") / slice_size)).select("pivot", "coarse", "ring", "parts")
+    placed = placed.join(F.broadcast(heights), ["pivot", "coarse"])  # at most 4096 * PIVOTS rows
+    placed = placed.withColumn("slice", F.xxhash64("pivot", "ring", F.pmod(F.xxhash64("id", "v", "salt"), F.col("parts"))))
+    schema = pa.schema([("slice", pa.int64()), ("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.binary()), ("vs", pa.binary())])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        ids, apart = rows["id"].to_numpy(), rows["apart"].to_numpy()
+        vs = b"".join(rows["v"].to_pylist())
+        return pa.Table.from_batches([_one_row([rows["slice"][0].as_py(), rows["pivot"][0].as_py(), apart.min(), apart.max(), _packed(ids, "<i8"), vs], schema)])
+
+    made = placed.select("slice", "pivot", "apart", "id", "v").groupBy("slice").applyInArrow(pack, "slice long, pivot int, low double, high double, ids binary, vs binary")
+    return index, saved(made, "slices")
+
+
+def top_k(rows: DataFrame, k: int = 5, every: int = 50, sample: int = SAMPLE, slice_size: int = SLICE, visits: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose vec_id is divisible by every, the k rows of largest
     integer inner product of floor(256 * component), the query's own vec_id left out; ties to smaller vec_id.
 
     rows (vec_id, embedding, ...): null vec_ids and vectors that are null or hold null or non-finite
     components take no part. Rows that share a vec_id are all candidates of other queries; as a query,
     the vector of least hash stands for them. Components are taken up to 2**20 in size
-    (2**53 for all products together), beyond which scores are rounded. Other columns are not looked at.
+    (2**53 for all products together), beyond which scores are rounded. With visits, the columns visited and slices say
+    how many slices the query visited of how many. Other columns are not looked at.
     """
-    spark, n = rows.sparkSession, partitions(rows.sparkSession)
+    spark = rows.sparkSession
     found = usable(rows)
-    schema = "query_id long, rank int, vec_id long, score long"
-    shape = found.agg(F.max(F.size("v")).alias("width"), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + floor(256 * x) * floor(256 * x))")).alias("most"), F.count("*").alias("n")).first()
-    if not shape["n"] or not shape["width"]:
-        width, most = 1, 0.0
-    else:
-        width, most = shape["width"], float(shape["most"])
-    picked = found.orderBy(F.xxhash64("id", "v"), "id").limit(sample).collect()
-    if not picked:
+    schema = "query_id long, rank int, vec_id long, score long" + (", visited long, slices long" if visits else "")
+    square = F.expr("aggregate(v, 0D, (s, x) -> s + floor(256 * x) * floor(256 * x))")
+    shape = found.agg(F.max(F.size("v")).alias("width"), F.max(square).alias("most"), F.count("*").alias("n")).first()
+    if not shape["n"]:
         return spark.createDataFrame([], schema)
+    width, most = max(1, shape["width"]), float(shape["most"])
+    picked = found.orderBy(F.xxhash64("id", "v"), "id").limit(sample).collect()
     x = np.zeros((len(picked), width))
     for i, r in enumerate(picked):
         x[i, : len(r["v"])] = r["v"]
     pivots = farthest_first(_lengthened(quantised(x), most), PIVOTS)  # PIVOTS vectors: a fixed size
+    index, made = _sorted_slices(small(found), pivots, width, most, max(slice_size, shape["n"] // SLICES))
+    listing = made.select("slice", "pivot", "low", "high").orderBy("pivot", "low", "slice").collect()  # about SLICES rows at most
+    numbers = np.array([r["slice"] for r in listing], np.int64)
+    pivot, low, high = (np.array([r[c] for r in listing]) for c in ("pivot", "low", "high"))
 
-    def keyed(batches):
-        for b in batches:
-            ids, v = batch_arrays(b, width)
-            v = quantised(v)
-            apart = _distances(_lengthened(v, most), pivots)
-            own = apart.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own.astype(np.int32)), pa.array(apart[np.arange(len(own)), own]), pa.array([r.tobytes() for r in v], pa.binary())], ["id", "pivot", "apart", "v"])
+    queries = index.where(F.col("id") % every == 0).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    asked = queries.count()
+    state_schema = pa.schema([("chunk", pa.int64())] + [(n, pa.binary()) for n in ("ids", "vs", "hits", "scores", "next", "visited")] + [("open", pa.int64())])
 
-    index = saved(found.mapInArrow(keyed, "id long, pivot int, apart double, v binary"), "keyed")
-    # rings of a pivot: cuts at even ranks of its distances, from a sketch; equal distances are told apart by a hash
-    count = index.groupBy("pivot").agg(F.count("*").alias("n"), F.min("apart").alias("low"), F.max("apart").alias("high"))
-    rings = count.withColumn("rings", F.greatest(F.lit(1), F.ceil(F.col("n") / slice_size)).cast("long")).select("pivot", "rings", "low", "high")
-    placed = index.join(F.broadcast(rings), "pivot")  # at most PIVOTS rows
-    coarse = F.least(F.lit(4095), F.floor(4096 * (F.col("apart") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)))).cast("int")
-    placed = placed.withColumn("coarse", coarse)
-    heights = placed.groupBy("pivot", "coarse").agg(F.count("*").alias("h"))  # at most 4096 rows for each pivot
-    before = F.coalesce(F.sum("h").over(Window.partitionBy("pivot").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heights = heights.withColumn("ring", F.floor(before / slice_size)).withColumn("parts", F.ceil(F.col("h") / slice_size)).select("pivot", "coarse", "ring", "parts")
-    placed = placed.join(heights, ["pivot", "coarse"]).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")))
-
-    def slices(batches):
-        kept = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if not kept:
-            return
-        pivot, ring, part, apart, ids, v = (np.concatenate(x) for x in zip(*kept))
-        order = np.lexsort((ids, apart, part, ring, pivot))
-        cut = np.flatnonzero(np.diff(pivot[order]) | np.diff(ring[order]) | np.diff(part[order])) + 1
-        for at in np.split(order, cut):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x]) for x in (int(pivot[at[0]]), int(ring[at[0]]), int(part[at[0]]), float(apart[at[0]]), float(apart[at[-1]]))] + [pa.array([x], pa.binary()) for x in (apart[at].tobytes(), ids[at].tobytes(), b"".join(v[at]))], names
-            )
-
-    names = ["pivot", "ring", "part", "low", "high", "aparts", "ids", "vs"]
-    made = placed.repartition(n, "pivot", "ring", "part").select("pivot", F.col("ring").cast("long"), F.col("part").cast("long"), "apart", "id", "v")
-    made = saved(made.mapInArrow(slices, "pivot long, ring long, part long, low double, high double, aparts binary, ids binary, vs binary"), "slices")
-    made = made.withColumn("slice", F.expr("xxhash64(pivot, ring, part)"))
-    queries = index.where(F.col("id") % every == 0).groupBy("id").agg(F.min_by(F.struct("pivot", "apart", "v"), F.xxhash64("v")).alias("x"))
-    queries = queries.select("id", F.col("id").alias("q"), "x.*")
-    groups = max(1, shape["n"] // every // 512)  # so that about 512 queries at most meet a slice at once
+    def begin(rows: pa.Table) -> pa.Table:
+        n, ids = rows.num_rows, rows["id"].to_numpy()
+        hits, scores = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf)
+        values = [rows["chunk"][0].as_py(), _packed(ids, "<i8"), b"".join(rows["v"].to_pylist()), _packed(hits, "<i8"), _packed(scores, "<f8"), bytes(8 * n), bytes(8 * n), n]
+        return pa.Table.from_batches([_one_row(values, state_schema)])
+
+    chunks = queries.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked // ASKED)))))
+    path = table_path(spark, "state")
+    chunks.select("chunk", "id", "v").groupBy("chunk").applyInArrow(begin, _STATE).write.parquet(path)
+    state = small(spark.read.schema(_STATE).parquet(path))
+
+    def plan(step: int):
+        """For each slice, which of a chunk's queries visit it in this round, and the score that a hit must reach."""
+
+        def run(batches):
+            for b in batches:
+                for chunk, ids, vs, _, scores, at, _, _ in zip(*(c.to_pylist() for c in b.columns)):
+                    v, at = np.frombuffer(vs).reshape(-1, width), np.frombuffer(at, "<i8")
+                    kth, own = np.frombuffer(scores).reshape(-1, k)[:, -1], (v * v).sum(1)
+                    apart = _distances(np.concatenate([v, np.zeros((len(v), 1))], axis=1), pivots)
+                    # how far a hit can be, with room for rounding
+                    reach = np.sqrt(np.maximum(own + most - 2 * np.maximum(kth, -4 * (own + most + 1)), 0)) + 1e-6 * np.sqrt(own + most + 1)
+                    visit: list[tuple[np.ndarray, int]] = []
+                    for q in np.flatnonzero(at >= 0).tolist():
+                        d = apart[q][pivot]
+                        bound = np.maximum(0, np.maximum(low - d, d - high))
+                        order = np.lexsort((d, bound))[at[q] : at[q] + step]
+                        far = reach[q] if np.isfinite(kth[q]) else np.inf
+                        visit.append((order[bound[order] <= far], q))
+                    if not visit:
+                        continue
+                    which, of = np.concatenate([s for s, _ in visit]), np.repeat([q for _, q in visit], [len(s) for s, _ in visit])
+                    by = np.argsort(which, kind="stable")
+                    for part in np.split(by, np.flatnonzero(np.diff(which[by])) + 1) if len(by) else []:
+                        q, i = of[part], np.frombuffer(ids, "<i8")
+                        values = [int(numbers[which[part[0]]]), chunk, _packed(q, "<i4"), _packed(i[q], "<i8"), _packed(v[q], "<f8"), _packed(kth[q], "<f8")]
+                        yield _one_row(values, plan_schema)
+
+        return run
+
+    plan_schema = pa.schema([("to", pa.int64()), ("chunk", pa.int64()), ("qs", pa.binary()), ("qids", pa.binary()), ("qvs", pa.binary()), ("kth", pa.binary())])
+    hit_schema = pa.schema([("chunk", pa.int64()), ("qs", pa.binary()), ("hits", pa.binary()), ("scores", pa.binary())])
 
     def search(batches):
-        """Rows (slice's aparts, ids, vs; pivot; queries' ids, vectors, distances to the pivot, bounds)."""
-        for b in batches:
-            out = []
-            for aparts, ids, vs, qid, q, dq, bound in zip(*(c.to_pylist() for c in b.columns)):
-                aparts, ids = np.frombuffer(aparts), np.frombuffer(ids, "<i8")
-                v = np.frombuffer(vs).reshape(len(ids), -1)
-                for one, vec, d, t in zip(qid, q, dq, bound):
-                    lo, hi = np.searchsorted(aparts, [d - t, d + t]) if np.isfinite(t) else (0, len(ids))
-                    hi = hi if hi == len(ids) else int(np.searchsorted(aparts, d + t, side="right"))
-                    scores = v[lo:hi] @ np.frombuffer(vec)
-                    own = ids[lo:hi]
-                    other = np.flatnonzero(own != one)
-                    at = other[best(scores[other], own[other], k)]
-                    out.append((np.full(len(at), one), own[at], scores[at].astype(np.int64)))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["query_id", "vec_id", "score"])
-
-    def visited(pairs: DataFrame) -> DataFrame:
-        """pairs (slice, id, v, dq, bound): each slice is read once for a bounded group of its queries."""
-        group = F.pmod(F.xxhash64("q"), F.lit(groups))
-        grouped = pairs.groupBy("slice", group.alias("g")).agg(*(F.collect_list(c).alias(c) for c in ("id", "v", "dq", "bound")))
-        both = made.select("slice", "aparts", "ids", "vs").join(grouped, "slice")
-        return both.select("aparts", "ids", "vs", "id", "v", "dq", "bound").mapInArrow(search, "query_id long, vec_id long, score long")
-
-    listing = made.select("slice", "pivot", "low", "high")
-    home = queries.join(listing, "pivot").where("apart >= low and apart <= high").groupBy("q").agg(F.min_by(F.struct("id", "v", F.col("apart").alias("dq")), "slice").alias("x"), F.min("slice").alias("slice"))
-    home = saved(home.select("q", "slice", "x.id", "x.v", "x.dq").withColumn("bound", F.lit(float("inf"))), "home")
-    first = saved(visited(home), "first")
-    kth = first.groupBy("query_id").agg(F.min(F.col("score")).alias("kth"), F.count("*").alias("hits")).where(F.col("hits") >= k)
-
-    def reach(batches):
-        """Distances to every pivot, and how far from the query a hit can still be."""
+        """One matrix product of a slice and a chunk's queries; of each query up to k hits that reach its k-th so far."""
         for b in batches:
-            v = np.stack([np.frombuffer(x) for x in b.column(2).to_pylist()]) if b.num_rows else np.zeros((0, width))
-            own = (v * v).sum(1)
+            for chunk, qs, qids, qvs, kth, ids, vs in zip(*(c.to_pylist() for c in b.columns)):
+                q, qids, kth, ids = np.frombuffer(qs, "<i4"), np.frombuffer(qids, "<i8"), np.frombuffer(kth), np.frombuffer(ids, "<i8")
+                scores = np.frombuffer(qvs).reshape(len(q), -1) @ np.frombuffer(vs).reshape(len(ids), -1).T
+                out = []
+                for i in range(len(q)):
+                    other = np.flatnonzero((scores[i] >= kth[i]) & (ids != qids[i]))
+                    at = other[best(scores[i][other], ids[other], k)]
+                    out.append((np.full(len(at), q[i]), ids[at], scores[i][at]))
+                cols = [np.concatenate(c) for c in zip(*out)]
+                yield _one_row([chunk, _packed(cols[0], "<i4"), _packed(cols[1], "<i8"), _packed(cols[2], "<f8")], hit_schema)
+
+    def merge(step: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            chunk, ids, vs, hits, scores, at, visited, _ = (c[0].as_py() for c in left.columns)
+            at, visited = np.frombuffer(at, "<i8").copy(), np.frombuffer(visited, "<i8").copy()
+            n = len(at)
+            q = np.concatenate([np.repeat(np.arange(n), k), *(np.frombuffer(x, "<i4") for x in right["qs"].to_pylist())])
+            h = np.concatenate([np.frombuffer(x, "<i8") for x in (hits, *right["hits"].to_pylist())])
+            s = np.concatenate([np.frombuffer(x) for x in (scores, *right["scores"].to_pylist())])
+            order = np.lexsort((h, -s, q))
+            q, h, s = q[order], h[order], s[order]
+            starts = np.searchsorted(q, np.arange(n))
+            first = starts[:, None] + np.arange(k)  # each query has k places already
+            # what a query visited of its step goes by the same bound as in plan()
+            v = np.frombuffer(vs).reshape(-1, width)
+            kth, own = np.frombuffer(scores).reshape(-1, k)[:, -1], (v * v).sum(1)
             apart = _distances(np.concatenate([v, np.zeros((len(v), 1))], axis=1), pivots)
-            kth = b.column(3).to_numpy(zero_copy_only=False).astype(float)
-            bound = np.sqrt(np.maximum(own + most - 2 * kth, 0)) + 1e-6 * np.sqrt(own + most + 1)  # room for rounding
-            bound[np.isnan(bound)] = np.inf
-            p = len(pivots)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b.column(0).to_numpy(), p)), pa.array(np.repeat(b.column(1).to_numpy(), p)), pa.array([x for x in b.column(2).to_pylist() for _ in range(p)], pa.binary()), pa.array(np.tile(np.arange(p), len(v))), pa.array(apart.ravel()), pa.array(np.repeat(bound, p))],
-                ["q", "id", "v", "pivot", "dq", "bound"],
-            )
-
-    asked = home.join(kth, home["id"] == kth["query_id"], "left").select("q", "id", "v", "kth", F.col("slice").alias("home")).select("q", "id", "v", "kth")
-    asked = asked.mapInArrow(reach, "q long, id long, v binary, pivot long, dq double, bound double")
-    rest = asked.join(listing, "pivot").where("dq - bound <= high and dq + bound >= low")
-    rest = rest.join(home.select("q", "slice"), ["q", "slice"], "left_anti").select("q", "slice", "id", "v", "dq", "bound")
-    return ranked(first.unionAll(visited(rest)), k, "long")
+            reach = lambda x: np.where(np.isfinite(x), np.sqrt(np.maximum(own + most - 2 * np.where(np.isfinite(x), x, 0), 0)) + 1e-6 * np.sqrt(own + most + 1), np.inf)
+            was, now = reach(kth), reach(s[first[:, -1]])
+            for i in np.flatnonzero(at >= 0).tolist():
+                d = apart[i][pivot]
+                bound = np.sort(np.maximum(0, np.maximum(low - d, d - high)))
+                visited[i] += int((bound[at[i] : at[i] + step] <= was[i]).sum())
+                at[i] += step
+                if at[i] >= len(bound) or bound[at[i]] > now[i]:
+                    at[i] = -1
+            values = [chunk, ids, vs, _packed(h[first], "<i8"), _packed(s[first], "<f8"), _packed(at, "<i8"), _packed(visited, "<i8"), int((at >= 0).sum())]
+            return pa.Table.from_batches([_one_row(values, state_schema)])
+
+        return run
+
+    step = 1
+    while not state.where("open > 0").isEmpty():
+        wanted = state.mapInArrow(plan(step), "to long, chunk long, qs binary, qids binary, qvs binary, kth binary")
+        both = wanted.join(made.select("slice", "ids", "vs"), F.col("to") == F.col("slice")).select("chunk", "qs", "qids", "qvs", "kth", "ids", "vs")
+        hits = both.mapInArrow(search, "chunk long, qs binary, hits binary, scores binary")
+        old, path = path, table_path(spark, "state")
+        state.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(merge(step), _STATE).write.parquet(path)
+        state, step = small(spark.read.schema(_STATE).parquet(path)), step * STEP
+        delete(spark, old)
+
+    def rows_of(batches):
+        for b in batches:
+            for _, ids, _, hits, scores, _, visited, _ in zip(*(c.to_pylist() for c in b.columns)):
+                ids, hits, scores = np.frombuffer(ids, "<i8"), np.frombuffer(hits, "<i8"), np.frombuffer(scores)
+                kept = np.flatnonzero(np.isfinite(scores))
+                cols = [pa.array(ids[kept // k]), pa.array((kept % k + 1).astype(np.int32)), pa.array(hits[kept]), pa.array(scores[kept].astype(np.int64))]
+                names = ["query_id", "rank", "vec_id", "score"]
+                if visits:
+                    cols, names = [*cols, pa.array(np.frombuffer(visited, "<i8")[kept // k]), pa.array(np.full(len(kept), len(numbers)))], [*names, "visited", "slices"]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return state.mapInArrow(rows_of, schema)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query its exact best, from the pivot-distance index."""
     return top_k(read(spark, sf_dir, "embeddings"))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from driftframe.sources.session import small_batches
+
 #: Texts go to Python in batches of at most so many rows and about so many bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 #: A task that gathers packed records holds about so many bytes of them.
@@ -67,16 +69,13 @@ def result(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Dat
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df in a copy of its session in which Python gets at most BATCH_ROWS rows or about BATCH_BYTES bytes at once.
+    """df in a copy of its session in which Python gets at most BATCH_ROWS rows or about BATCH_BYTES bytes at once."""
+    return small_batches(df, BATCH_ROWS, BATCH_BYTES)
 
-    The caller's session keeps its settings; what is derived from the result runs in the copy.
-    """
-    spark = df.sparkSession
-    copy = spark._jsparkSession.cloneSession()
-    copy.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    copy.conf().set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    moved = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy, df._jdf.logicalPlan())
-    return DataFrame(moved, SparkSession(spark.sparkContext, copy))
+
+def small(df: DataFrame) -> DataFrame:
+    """The same for rows that each hold many packed records."""
+    return small_batches(df, BATCH_ROWS, BATCH_BYTES // 2)
 
 
 def partitions(spark: SparkSession, nbytes: float = 0) -> int:

@@ -259,28 +259,69 @@ def test_exact_topk(spark):
     assert pivots.top_k(df.limit(0)).count() == 0
 
 
+def brute_nearest(ids, x, one, k):
+    """The k best by sums from the first component to the last, ties to smaller ids."""
+    q = x[ids.index(one)]
+    scored = sorted((-float(np.cumsum(v * q)[-1]), i) for i, v in zip(ids, x) if i != one)
+    return [(one, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+
+
 def test_neighbours(spark):
     df, x = vectors(spark)
-    got = [tuple(r) for r in collisions.nearest(df, k=20).collect()]
+    got = [tuple(r) for r in collisions.nearest(df, k=20, block=100).collect()]
+    ids, full = [*range(300), 3], np.concatenate([x, x[3:4]])
     hits = n = 0
     for i in range(0, 300, 20):
-        s = x @ x[i]
-        s[i] = -1e9
-        own = [g[2] for g in sorted(got, key=lambda g: g[1]) if g[0] == i]
-        assert len(own) == 20
-        hits, n = hits + len(set(own) & set(np.argsort(-s)[:20].tolist())), n + 20
+        want = brute_nearest(ids, full, i, 20)
+        own = sorted((g for g in got if g[0] == i), key=lambda g: g[1])
+        assert [g[1] for g in own] == list(range(1, 21)) and own == sorted(own, key=lambda g: (-g[3], g[2]))
+        assert {g[2]: g[3] for g in own}.items() <= {w[2]: w[3] for w in brute_nearest(ids, full, i, 400)}.items()
+        hits, n = hits + len({g[2] for g in own} & {w[2] for w in want}), n + 20
     assert hits / n >= 0.9 and collisions.nearest(df.limit(0)).count() == 0
 
 
-def test_recall_on_embeddings(spark):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    p = df.toPandas()
-    x = np.stack(p["embedding"].to_numpy()).astype(float)
-    got = collisions.nearest(df).toPandas()
-    s = x @ x.T
-    np.fill_diagonal(s, -9)
-    hits = sum(len(set(g["vec_id"]) & set(p["vec_id"].to_numpy()[np.argsort(-s[q])[:20]])) for q, g in got.groupby("query_id"))
-    assert hits >= 0.9 * len(got)
+def test_few_neighbours_and_ties(spark):
+    """Fewer rows than k: all of them; equal vectors and repeated ids rank by vec_id."""
+    rows = [(0, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (5, [0.5, 0.5]), (5, [0.5, 0.5]), (7, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in collisions.nearest(df).collect())
+    assert got == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 5, 0.5), (0, 4, 5, 0.5), (0, 5, 7, -1.0)]
+    got = sorted(tuple(r) for r in pivots.top_k(df).collect())
+    assert got == [(0, 1, 2, 65536), (0, 2, 3, 65536), (0, 3, 5, 32768), (0, 4, 5, 32768), (0, 5, 7, -65536)]
+
+
+def test_the_threshold_decides():
+    """20,000 vectors in two blocks: few are verified, and nine in ten of the nearest are found."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    directions = collisions.projections(65)
+    blocks = [collisions.Block(np.arange(i, 20000, 2), x[i::2], 1.0, directions) for i in (0, 1)]
+    hits = verified = 0
+    for q in range(0, 20000, 500):
+        at, scores, n = blocks[0].search(q, x[q], 20)
+        found, more = dict(zip(blocks[0].ids[at].tolist(), scores)), n
+        at, scores, n = blocks[1].search(q, x[q], 20, scores[-1])
+        found |= dict(zip(blocks[1].ids[at].tolist(), scores))
+        verified += more + n
+        s = x @ x[q]
+        s[q] = -9
+        hits += len(set(sorted(found, key=found.get)[-20:]) & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 40 * 20 and verified < 0.1 * 40 * 20000
+
+
+def test_topk_stops(spark):
+    """Where vectors lie in clusters, far annuli are never visited; results are those of brute force."""
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(40, 16)) * 4)[rng.integers(0, 40, 20000)] + rng.normal(size=(20000, 16)) * 0.2
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20000), "embedding": list(x)}))
+    got = pivots.top_k(df, every=1000, slice_size=256, visits=True).toPandas().sort_values(["query_id", "rank"])
+    q = np.floor(256 * x)
+    for i, g in got.groupby("query_id"):
+        s = q @ q[i]
+        s[i] = -1e18
+        assert g["vec_id"].tolist() == np.lexsort((np.arange(20000), -s))[:5].tolist()
+    assert got["visited"].mean() < 0.5 * got["slices"].max() and got["visited"].min() < 0.2 * got["slices"].max()
 
 
 def test_toxicity(spark, docs, empty):
