@@ -63,7 +63,7 @@ class Block:
         at, least, own = np.concatenate([query, [0.0]]) @ self.directions, threshold(m), float(query @ query)
         scores, seen, n_others = np.full(n, -np.inf), np.zeros(n, bool), int((self.ids != one).sum())
         reach = lambda score: sqrt(max(own + self.most - 2 * score, 0)) if np.isfinite(score) else np.inf
-        radius = min(self.start, reach(kth))
+        radius = 0.97 * reach(kth) if np.isfinite(kth) else self.start  # what the bound still tightens by is little
         while True:
             wide = WIDTH * radius / sqrt(len(self.directions))
             lo = [s.searchsorted(a - wide, side="left") for s, a in zip(self.sorted, at)]
@@ -78,7 +78,7 @@ class Block:
             best = max(kth, float(np.partition(scores, n - k)[n - k]) if n > k else -np.inf)
             if radius >= reach(best) or np.isfinite(scores).sum() >= n_others:
                 break
-            radius = min(radius * GROWTH, reach(best)) if radius * GROWTH > reach(best) > radius else radius * GROWTH
+            radius = min(radius * GROWTH, max(reach(best), 1.001 * radius))
         found = np.flatnonzero(np.isfinite(scores))
         found = found[np.lexsort((self.ids[found], -scores[found]))[:k]]
         return found, scores[found], int(seen.sum())

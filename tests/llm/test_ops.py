@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -314,7 +315,7 @@ def test_topk_stops(spark):
     """Where vectors lie in clusters, far annuli are never visited; results are those of brute force."""
     rng = np.random.default_rng(7)
     x = (rng.normal(size=(40, 16)) * 4)[rng.integers(0, 40, 20000)] + rng.normal(size=(20000, 16)) * 0.2
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20000), "embedding": list(x)}))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(20000), "embedding": x.tolist()}))
     got = pivots.top_k(df, every=1000, slice_size=256, visits=True).toPandas().sort_values(["query_id", "rank"])
     q = np.floor(256 * x)
     for i, g in got.groupby("query_id"):
