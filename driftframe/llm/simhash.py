@@ -248,24 +248,23 @@ def _segment_variants(targets: int, entry: np.dtype, blocks):
     def run(batches):
         for b in batches:
             f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in (0, 1)], axis=1)
-            own = _nodes(f, b.column(2).to_numpy()).view(np.uint64)
-            for s in range(SEGMENTS):
-                rows = np.zeros((SEGMENT_BITS, len(f)), entry)
-                rows["k"], rows["f"] = _variant_keys(f, s), f
-                for i, name in enumerate(entry.names[2:]):  # s and what follows
-                    rows[name] = b.column(2 + i).to_numpy()
-                rows = rows.ravel()
-                if blocks is not None and (hot := blocks.value[rows["k"]] > 1).any():
-                    cut = rows[hot]
-                    n = blocks.value[cut["k"]].astype(np.int64)
-                    i = (np.tile(own, SEGMENT_BITS)[hot] % n.astype(np.uint64)).astype(np.int64)
-                    j = i if whole else np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    if not whole:
-                        cut, i = np.repeat(cut, n), np.repeat(i, n)
-                    cut["k"] = run_of(cut["k"], np.minimum(i, j), np.maximum(i, j))
-                    rows = np.concatenate([rows[~hot], cut])
-                if out := dealt((mix64(rows["k"].astype(np.uint64)) % np.uint64(targets)).astype(np.int64), rows):
-                    yield out
+            rows = np.zeros((SEGMENTS * SEGMENT_BITS, len(f)), entry)  # a bounded batch, sent as one row for each target
+            rows["k"], rows["f"] = np.concatenate([_variant_keys(f, s) for s in range(SEGMENTS)]), f
+            for i, name in enumerate(entry.names[2:]):  # s and what follows
+                rows[name] = b.column(2 + i).to_numpy()
+            rows = rows.ravel()
+            if blocks is not None and (hot := blocks.value[rows["k"]] > 1).any():
+                cut = rows[hot]
+                n = blocks.value[cut["k"]].astype(np.int64)
+                own = np.tile(_nodes(f, b.column(2).to_numpy()).view(np.uint64), SEGMENTS * SEGMENT_BITS)[hot]
+                i = (own % n.astype(np.uint64)).astype(np.int64)
+                j = i if whole else np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                if not whole:
+                    cut, i = np.repeat(cut, n), np.repeat(i, n)
+                cut["k"] = run_of(cut["k"], np.minimum(i, j), np.maximum(i, j))
+                rows = np.concatenate([rows[~hot], cut])
+            if out := dealt((mix64(rows["k"].astype(np.uint64)) % np.uint64(targets)).astype(np.int64), rows):
+                yield out
 
     return run
 
@@ -588,5 +587,6 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float =
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     found = simhash_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
