@@ -361,6 +361,38 @@ def test_urls(spark):
     assert got == {1: ("a.b.com", "/en/x", "com/en/", "block"), 2: ("example.com", "/en/7", "example.com/en/7", "allow"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("x.net", "", None, "allow"), 6: ("example.net", "/de/81/a", "example.net/de/8", "block"), None: ("notcom", "/en/", None, "allow")}
 
 
+def test_url_tree(spark):
+    """A branch without labels goes by its nearest labelled ancestor; branches of like labels become one, with what is below them."""
+    rules = [("a.com", "/x/bad", "block"), ("a.com", "/x/good", "allow"), ("a.com", "/y/bad", "block"), ("b.com", "/p/", "allow"), ("b.com", "/q/", "block"), ("c.com", "/deep/1/2/3/4/5/6/7/8/9/bad", "block")]
+    urls_ = [f"http://a.com/{d}/bad/{i}" for d in "xy" for i in range(10)] + [f"http://a.com/x/good/{i}" for i in range(10)]
+    urls_ += ["http://a.com/x/other", "http://a.com/x/other", "http://a.com/y/other", "http://a.com/y/other", "http://a.com/z/new", "http://a.com/z/new", "http://a.com", "http://a.com/"]
+    urls_ += [f"http://b.com/{d}/{i}" for d in "pqr" for i in range(20)] + ["http://none.com/a", None]
+    urls_ += ["http://c.com/deep/1/2/3/4/5/6/7/8/9/bad"] * 9 + ["http://c.com/deep/1/2/3/4/5/6/7/8/9/new", "http://c.com//", "http://c.com/deep"]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.filtered(pages, rules).collect()}
+    at = lambda u: {(got[i]["verdict"], got[i]["template"]) for i, x in enumerate(urls_) if x == u}
+    assert len(got) == len(urls_) and at(None) == {("allow", "")} and at("http://none.com/a") == {("allow", "/*")}
+    # x: 10 of 20 block, y: 10 of 10, so they stay apart; what hangs below each without labels goes by it
+    assert at("http://a.com/x/other") == {("allow", "/x/other")} and at("http://a.com/y/other") == {("block", "/y/other")}
+    assert at("http://a.com/z/new") == at("http://a.com/z/new") and {v for v, _ in at("http://a.com/z/new")} == {"block"}  # 20 of 30 of the host
+    assert {got[i]["verdict"] for i, x in enumerate(urls_) if x and x.startswith("http://b.com/r/")} == {"allow"}  # 20 of 40, smoothed: below a half
+    assert {v for v, _ in at("http://c.com/deep/1/2/3/4/5/6/7/8/9/new")} == {"block"} and {v for v, _ in at("http://c.com//")} == {"block"}
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    sql = urls.OP6_SQL
+    for kind in ("rule", "verdict"):
+        own = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if kind == 'rule' else v}'" for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1])))
+        sql = sql.replace(urls._rule_sql(kind), f"CASE {own} END")
+    assert sorted(map(tuple, con.execute(sql).fetchall()), key=str) == sorted(map(tuple, got.values()), key=str)
+    assert urls.filtered(pages.limit(0)).count() == 0
+
+
+def test_the_tree_blocks_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = urls.filtered(pages).where("rule is null").groupBy("verdict").count().collect()
+    assert {r["verdict"]: r["count"] > 0 for r in found} == {"allow": True, "block": True}
+
+
 def test_warc(spark, tmp_path):
     body = "<p>" + "y" * 200 + "\r\n\r\nWARC/1.1\r\n"
     rows = [(3, "u3", body), (2, "u\r\n2", body), (5, None, body), (4, "u4", None), (6, "u6", ""), (7, "u7", "short"), (8, "u8", "short"), (2, "u\r\n2", body), (None, "n", body)]
