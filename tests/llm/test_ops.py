@@ -416,6 +416,70 @@ def test_shards(docs, empty):
     assert sharding.sharded(empty).count() == 0
 
 
+def brute_steps(values, bits=4):
+    """Of each value the step of the middle of its rows, nulls first."""
+    order = sorted(set(values), key=lambda v: (v is not None, v))
+    out, before = {}, 0
+    for v in order:
+        n = values.count(v)
+        out[v] = int((before + (n - 1) / 2) * (1 << bits) / len(values))
+        before += n
+    return out
+
+
+def brute_cell(point, bits):
+    """The index of a point on the Hilbert curve, one bit of each axis after the other."""
+    x, n = list(point), len(point)
+    for q in (1 << i for i in reversed(range(1, bits))):
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for q in (1 << i for i in reversed(range(1, bits))):
+        if x[-1] & q:
+            t ^= q - 1
+    x = [v ^ t for v in x]
+    out = 0
+    for b in reversed(range(bits)):
+        for v in x:
+            out = out << 1 | v >> b & 1
+    return out
+
+
+@pytest.mark.parametrize("table", ["rows", "sf0.001"])
+def test_shards_follow_the_curve(spark, docs, table):
+    df = docs if table == "rows" else spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect()]
+    lang, source, length = (brute_steps(v) for v in ([r[2] for r in rows], [r[3] for r in rows], [len(r[1] or "") for r in rows]))
+    want = {(r[0], zlib.crc32((r[1] or "").encode())): brute_cell((lang[r[2]], source[r[3]], length[len(r[1] or "")]), 4) for r in rows}
+    got = sharding.sharded(df, 7).collect()
+    assert {(r["doc_id"], r["text_crc32"]): r["cell"] for r in got} == want
+    cells = [r["cell"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert cells == sorted(cells)
+    texts = {}
+    for i, r in enumerate(sorted(got, key=lambda r: (r["shard"], r["slot"]))):
+        texts.setdefault((r["cell"], r["text_crc32"]), []).append(i)
+    if table == "rows":
+        assert all(x[-1] - x[0] == len(x) - 1 for x in texts.values())
+
+
+def test_files_are_skipped(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("n_chars", F.char_length("text"))
+    path = str(tmp_path / "shards")
+    sharding.write_shards(df, path)
+    back = spark.read.parquet(path)
+    assert back.select(*df.columns).exceptAll(df).isEmpty() and back.count() == df.count() and back.select("shard").distinct().count() == 24
+    quarter, half = df.approxQuantile("n_chars", [0.25, 0.5], 0)
+    for column, low, high in (("lang", "de", "de"), ("source", "src7", "src7"), ("n_chars", int(quarter), int(quarter)), ("n_chars", int(half), int(half))):
+        skipped, files = sharding.skipped(spark, path, column, low, high)
+        assert files >= 24 and skipped >= files / 2, (column, skipped, files)
+
+
 def test_curve_steps_to_neighbours(spark):
     df = spark.range(64).selectExpr("cast(id div 8 as int) a", "cast(id % 8 as int) b")
     p = [(r["a"], r["b"]) for r in sharding._curve(df, ["a", "b"], 3).orderBy("cell").collect()]
