@@ -1,5 +1,6 @@
 """The corpus operators on hard little tables, against brute force or SQL."""
 
+import gzip
 import hashlib
 import zlib
 
@@ -416,6 +417,28 @@ def test_shards(docs, empty):
     assert sharding.sharded(empty).count() == 0
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Members one after the other, records in any order and file; long payloads; files that end after few bytes; no pages at all."""
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + b"z" * 3_000_000
+    rec = lambda kind, i, block, *more: b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: " + i, *more, b"Content-Length: %d" % len(block), b"", block, b"", b""])
+    parts = [rec(b"metadata", b"<m>", b"pageId: 7\r\n", b"WARC-Concurrent-To: <r>"), rec(b"warcinfo", b"<w>", b"x"), rec(b"response", b"<r>", body)]
+    folder = tmp_path / "w"
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts[:2]))
+    (folder / "b.warc").write_bytes(parts[2])
+    r = warc.assembled(warc.read_records(spark, str(folder))).collect()
+    assert len(r) == 1 and r[0]["response"]["payload_bytes"] == 3_000_000 and len(r[0]["response"]["payload"]) == 3_000_000 and r[0]["request"] is None and r[0]["metadata"]["fields"] == "pageId: 7\r\n"
+    pages = spark.createDataFrame([(i, f"u{i}", "y" * (2_000_000 if i == 3 else 50 * i)) for i in range(40)], "page_id long, url string, html string")
+    warc.write_warc(pages.coalesce(1), str(tmp_path / "v"), file_bytes=200_000)
+    found = warc.assembled(warc.read_records(spark, str(tmp_path / "v"))).collect()
+    assert len(found) == 40 and len(list((tmp_path / "v").glob("part-*"))) > 5 and sorted(x["response"]["payload_bytes"] for x in found)[-1] == 2_000_000
+    warc.write_warc(pages.limit(0), str(tmp_path / "none"))
+    assert warc.assembled(warc.read_records(spark, str(tmp_path / "none"))).count() == 0
+    (folder / "c.warc").write_bytes(parts[2][:-100])
+    with pytest.raises(Exception, match="is cut"):
+        warc.read_records(spark, str(folder)).count()
+
+
 def brute_steps(values, bits=4):
     """Of each value the step of the middle of its rows, nulls first."""
     order = sorted(set(values), key=lambda v: (v is not None, v))
