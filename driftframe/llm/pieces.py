@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import bounded, mix64, read
+from driftframe.llm.shared import bounded, mix64, read, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, TEMPERATURE = 42, 0.5
@@ -303,6 +303,7 @@ def encoded(docs: DataFrame, model: str = MODEL, temperature: float = TEMPERATUR
     with open(model, "rb") as f:
         proto = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    @trimmed
     def run(batches):
         pieces = _loaded(proto.value, temperature)
         for b in batches:
@@ -333,6 +334,7 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
     with open(model, "rb") as f:
         proto = rows.sparkSession.sparkContext.broadcast(f.read())
 
+    @trimmed
     def run(batches):
         pieces = _loaded(proto.value, TEMPERATURE)
         for b in batches:

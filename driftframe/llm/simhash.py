@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import bounded, components, dealt, forest, gathered, mix64, partitions, read, saved
+from driftframe.llm.shared import bounded, components, dealt, forest, gathered, mix64, partitions, read, saved, trimmed
 
 #: Variants that more fingerprints share are indexed again, not compared pairwise.
 CROWD = 256
@@ -46,6 +46,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) for each row: fp the 64 bits of the fingerprint as a signed long; 0 for null or empty texts."""
 
+    @trimmed
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
@@ -72,6 +73,7 @@ def _variants(rows: DataFrame, width: int) -> DataFrame:
 def _close_in_group(bits: int):
     """Links of at most so many differing bits within each key's rows; keys here have a bounded number of rows."""
 
+    @trimmed
     def run(batches):
         rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if not rows:
@@ -190,6 +192,7 @@ def _nodes(f: np.ndarray, s: np.ndarray | int = 0) -> np.ndarray:
 def _wide_fingerprints(words: int):
     """(doc_id, node, f0, f1, s, hash, set) of each text; set: 32 bits of each distinct shingle's hash, in order."""
 
+    @trimmed
     def run(batches):
         for b in batches:
             raws = [_digests(shingle_slices(t or "", words)) for t in b.column(1).to_pylist()]
@@ -212,6 +215,7 @@ def _variant_keys(f: np.ndarray, s: int) -> np.ndarray:
 def _variant_counts(least: int):
     """(k, n) of the variants that this task holds so many of."""
 
+    @trimmed
     def run(batches):
         counts = np.zeros(VARIANTS, np.int32)
         for b in batches:
@@ -245,6 +249,7 @@ def _segment_variants(targets: int, entry: np.dtype, blocks):
         h = mix64(mix64(k.astype(np.uint64) << np.uint64(16) | i.astype(np.uint64)) + j.astype(np.uint64))
         return (np.uint64(VARIANTS) + h % np.uint64((1 << 32) - VARIANTS)).astype(np.uint32)
 
+    @trimmed
     def run(batches):
         for b in batches:
             f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in (0, 1)], axis=1)
@@ -371,6 +376,7 @@ def _near_pairs(rows: np.ndarray, each: int, large: int = LARGE) -> np.ndarray:
 
 
 def _packed_first(targets: int, large: int):
+    @trimmed
     def run(batches):
         rows = gathered(batches, _FIRST)
         if len(rows):
@@ -406,6 +412,7 @@ def _first_pairs(batches):
 
 
 def _packed_cells(targets: int, each: int, large: int):
+    @trimmed
     def run(batches):
         rows = gathered(batches, _NAMED)
         if len(rows):
@@ -445,6 +452,7 @@ def _alike(x: bytes, y: bytes, similarity: float) -> bool:
 
 
 def _similar(similarity: float):
+    @trimmed
     def run(batches):
         for b in batches:
             keep = pa.array([_alike(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
@@ -475,6 +483,7 @@ def _links_of_cell(pairs: bytes, sets: dict[int, bytes], similarity: float) -> l
 def _similar_in_cells(similarity: float):
     """rows (cell, node, set, pairs) in the order of cell, that of its pairs first."""
 
+    @trimmed
     def run(batches):
         cell, pairs, sets = None, None, {}
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import bounded, read
+from driftframe.llm.shared import bounded, read, trimmed
 
 #: Word features are hashed to so many weights.
 FEATURES = 1 << 18
@@ -156,6 +156,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     schema = "doc_id long, text string, score double, offending array<struct<begin:int,end:int,score:double>>"
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
+    @trimmed
     def run(batches):
         score = make()
         for b in batches:
@@ -171,6 +172,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Dat
     make = _scorer(docs.sparkSession, train(docs, labels))
     kept = docs.schema
 
+    @trimmed
     def run(batches):
         score = make()
         for b in batches:
