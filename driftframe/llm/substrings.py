@@ -9,7 +9,7 @@ repeat is a union of repeats of the wanted length. longest_repeats() goes on dou
 Before a shuffle each task compares what it holds itself and sends one row of any
 window, so that no key gets more rows than there are blocks of input.
 
-Windows are equal if 128 bits of hash are: with 10**13 windows some two share them by chance in one of 10**12 corpora.
+Windows are equal if 96 bits of hash are: with 10**13 windows some two share them by chance in one of 1000 corpora.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import bounded, dealt, gathered, mix64, partitions, read, saved
+from driftframe.llm.shared import bounded, dealt, gathered, mix64, partitions, read, saved, trimmed
 
 #: Windows compared at once in a task; the first level's windows have from so many words to twice as many.
-BLOCK_WORDS, LEAST = 1 << 19, 10
+BLOCK_WORDS, LEAST = 1 << 18, 10
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 _SEEN = np.dtype([("h", "<u8"), ("did", "<i8"), ("th", "<i8"), ("many", "<i4")])
-_WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("did", "<i8"), ("th", "<i8"), ("at", "<i4")])
+_WINDOW = np.dtype([("h", "<u8"), ("g", "<u4"), ("did", "<i8"), ("th", "<i8"), ("at", "<i4")])
 _HASH_OF = np.dtype([("did", "<i8"), ("th", "<i8"), ("h", "<u8")])
 _SPAN_OF = np.dtype([("did", "<i8"), ("th", "<i8"), ("begin", "<i4"), ("end", "<i4")])
 _NULL_ID = (1 << 63) - 1
@@ -122,6 +122,7 @@ def _next_windows(before: int, low: int, high: int | None, sampled: bool):
 def _counted(windows, columns: int, targets: int):
     """What windows(words, blob) gives of each document, one row of any hash from a block, packed as _SEEN."""
 
+    @trimmed
     def run(batches):
         for block in _blocks(batches, columns):
             parts = []
@@ -157,6 +158,7 @@ def _by_document(dtype: np.dtype):
     values = [n for n in dtype.names if n not in ("did", "th")]
     packed = np.dtype([(n, dtype[n]) for n in values])
 
+    @trimmed
     def run(batches):
         rows = gathered(batches, dtype)
         if not len(rows):
@@ -175,6 +177,7 @@ def _by_document(dtype: np.dtype):
 def _repeated(targets: int):
     """Hashes of the first level that occur more than once, with the documents that have them."""
 
+    @trimmed
     def run(batches):
         seen = gathered(batches, _SEEN)
         if not len(seen):
@@ -201,6 +204,7 @@ def _ordered(rows: np.ndarray) -> np.ndarray:
 
 
 def _last_level(low: int, length: int, targets: int):
+    @trimmed
     def run(batches):
         for block in _blocks(batches, 4):
             parts = []
@@ -210,7 +214,7 @@ def _last_level(low: int, length: int, targets: int):
                 words = _word_hashes(text)
                 starts = _starts(words[0], low, length, np.frombuffer(blob, "<u8"), True)
                 rows = np.zeros(len(starts), _WINDOW)
-                rows["h"], rows["g"] = (window_hashes(w, length)[starts] for w in words)
+                rows["h"], rows["g"] = window_hashes(words[0], length)[starts], window_hashes(words[1], length)[starts] >> np.uint64(32)
                 rows["did"], rows["th"], rows["at"] = did, th, starts
                 parts.append(rows)
             if not parts:
@@ -233,6 +237,7 @@ def _last_level(low: int, length: int, targets: int):
 def _verdicts(length: int, targets: int):
     """Spans of words that go, windows of one document that touch being one span."""
 
+    @trimmed
     def run(batches):
         rows = gathered(batches, _WINDOW)
         known = rows["h"] == 0
@@ -340,6 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, keep: tuple[str, ...] = ()
     schema = rows.drop("__blob").schema.add("__n_words", "long").add("__n_removed", "long").add("__kept", "string")
     others = [f.name for f in rows.drop("__blob").schema]
 
+    @trimmed
     def run(batches):
         for b in batches:
             n_words, n_removed, texts = [], [], []
