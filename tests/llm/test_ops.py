@@ -2,6 +2,8 @@
 
 import gzip
 import hashlib
+import math
+import re
 import zlib
 
 import duckdb
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from driftframe.llm import collisions, mixing, pieces, pivots, registry, sharding, simhash, substrings, toxicity, urls, warc
 
-SF = "/root/testdata/sf0.001"
+SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, target int"
 WORDS = [f"w{i}" for i in range(400)]
 LONG = " ".join(WORDS * 30)
@@ -55,6 +57,20 @@ def test_simhash(docs, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_fingerprints_by_hand(spark, docs):
+    """Bits voted one by one over shingles cut one by one."""
+
+    def by_hand(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(docs.select("doc_id", "text"))
+    want = sorted((r["doc_id"] or -1, by_hand(r["text"])) for r in rows.collect())
+    assert sorted((r["doc_id"] or -1, r["fp"] % (1 << 64)) for r in simhash.fingerprints(rows).collect()) == want
+
+
 @pytest.mark.parametrize("crowd", [2, 256])
 def test_links_connect_what_is_near(spark, crowd):
     rng = np.random.default_rng(1)
@@ -335,6 +351,31 @@ def test_toxicity(spark, docs, empty):
     assert [r["score"] for r in toxicity.scored(docs, labels.limit(0)).where("text is null or text = ''").collect()] == [0.0, 0.0]
 
 
+def test_scores_by_hand(spark, docs):
+    """The noisy-or of logistic sentence scores, sentence by sentence; the fold goes by the doc_id's crc32."""
+    d, labels = spark.read.parquet(f"{MORE}/documents.parquet"), spark.read.parquet(f"{MORE}/labels.parquet")
+    weights, bias = toxicity.train(d, labels)
+
+    def by_hand(text):
+        none, found = 1.0, []
+        for m in re.finditer(r"[^.!?\n]+", text or ""):
+            words = [w for x in m[0].lower().split() if (w := x.strip(".,;:!?\"'()[]{}*#%&$|-_"))]
+            if words:
+                z = bias + sum(float(np.float32(weights[zlib.crc32(w.encode()) % toxicity.FEATURES])) for w in words)
+                p = 1 / (1 + math.exp(-max(-30, min(30, z))))
+                none *= 1 - p
+                found += [(m.start(), m.end())] if p >= 0.5 else []
+        return 1 - none, found
+
+    got = toxicity.scored(d, labels).collect()
+    assert len(got) == d.count() and any(r["offending"] for r in got)
+    for r in got:
+        score, found = by_hand(r["text"])
+        assert r["score"] == pytest.approx(score, abs=1e-6) and [(x["begin"], x["end"]) for x in r["offending"]] == found
+    folds = {r["doc_id"]: (r["held_out"], r["predicted"] == int(r["score"] >= 0.5)) for r in toxicity.op5_toxicity(spark, MORE).collect()}
+    assert folds == {i: (zlib.crc32(str(i).encode()) % 5 == 0, True) for i in folds} and len(folds) == len(got)
+
+
 def test_word_budget_does_not_depend_on_layout(spark):
     rows = [(i, " ".join(f"bad{i % 3}" if i % 3 else f"w{j}" for j in range(5 + i % 7))) for i in range(200)]
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, toxic int")
@@ -356,6 +397,40 @@ def test_mixing(docs, empty):
     assert dealt.sum(axis=1).tolist() == [100, 7, 0, 3] and np.ptp(dealt.sum(axis=0)) <= 3
 
 
+def test_mixing_by_hand(spark):
+    """Targets by pouring step by step; taken words come near them; reruns over other partitions agree; a pass of a document is in one shard."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "w " * int(rng.integers(1, 60)), ["big", "mid", "tiny", None][min(3, int(rng.integers(0, 100)) // 33)]) for i in range(3000)] + [(5000, "huge " * 4000, "one"), (5001, None, "mid"), (5002, "", "mid")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {}
+    for _, text, source in rows:
+        size[source] = size.get(source, 0) + len((text or "").split())
+    order = sorted(size, key=lambda x: (x is None, x))
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(order)}
+    target, full, rest = {}, set(), sum(size.values())
+    while True:
+        for x in order:
+            target[x] = 3 * size[x] if x in full else rest * weight[x] / sum(weight[y] for y in order if y not in full)
+        if not (over := {x for x in order if x not in full and target[x] > 3 * size[x]}):
+            break
+        full |= over
+        rest = sum(size.values()) - sum(3 * size[x] for x in full)
+
+    def run(df):
+        measured = mixing.measured(df, ["doc_id"])
+        return {r["doc_id"]: r for r in mixing.mixed(measured, mixing.plan(measured)).collect()}
+
+    got = run(docs.repartition(3))
+    assert {i: (r["copies"], r["shards"]) for i, r in got.items()} == {i: (r["copies"], r["shards"]) for i, r in run(docs.repartition(11)).items()}
+    for x in order:
+        own = [r for r in got.values() if r["__source"] == x]
+        assert own[0]["target"] == pytest.approx(target[x]) and own[0]["source_size"] == size[x]
+        assert abs(sum(r["copies"] * r["__size"] for r in own) - target[x]) <= max(r["__size"] for r in own) / 2 + 1e-6
+    assert all(r["copies"] <= 3 and (not r["copies"] or len(r["shards"]) >= r["copies"]) for r in got.values())
+    out = mixing.mixed_documents(docs).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in out} == {i: r["copies"] for i, r in got.items() if r["copies"]}
+
+
 def test_urls(spark):
     rows = [(1, "https://A.b.COM/en/x?q", "z"), (2, "http://example.com/en/7", "z"), (3, None, "z"), (4, "no scheme", "z"), (5, "ftp://x.net#f", "z"), (6, "http://example.net/de/81/a", "z"), (6, "http://example.net/de/81/a", "z"), (None, "http://notcom/en/", "z")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filtered(spark.createDataFrame(rows, "page_id long, url string, host string")).collect()}
