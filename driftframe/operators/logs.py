@@ -258,7 +258,8 @@ class Log:
         if not arms:
             return u.select(*keys).limit(0)
         out = tb.sparse(u, arms, ("path", "timestamp"), "name", "decoded_offset", sequence)
-        return out.select(*keys, *extra, *(F.col(f"`{name}`") for name, _, _ in columns)).orderBy(*keys)
+        ordered = out.orderBy("path", "timestamp") if with_path else out.orderBy("timestamp", "path")
+        return ordered.select(*keys, *extra, *(F.col(f"`{name}`") for name, _, _ in columns))
 
     def wide(self, selected: list[str] | None = None, with_path: bool = False) -> DataFrame:
         """timestamp and a column for each signal (or each selected one), the last update of each timestamp of each log.
