@@ -96,6 +96,6 @@ def oracle_sql() -> dict[str, str]:
         "log_narrow": f"WITH {_L} SELECT path, ts AS timestamp, o AS source_sequence, x FROM l",
         "log_signals": f"""WITH {_L} SELECT DISTINCT path, 130816::BIGINT AS raw_id, 'x' AS name, 'float64' AS signal_type, 'double' AS original_type, 'V' AS units, '{{"units": "V"}}' AS metadata,
   'custom' AS source, 'full' AS support, NULL::VARCHAR AS device, 0::BIGINT AS definition_decoded_offset, 'Simulation' AS bus FROM l""",
-        "log_unsupported": f"""WITH {_L} SELECT path, {0xE0108001 & 0x1FFFFFFF} AS arbitration_id, 5 AS record_class, 8 AS payload_len, count(*) AS count, min(o) AS first_decoded_offset, arg_min(payload, o) AS first_payload
+        "log_unsupported": f"""WITH {_L} SELECT path, {0xE0108001 & 0x1FFFFFFF}::BIGINT AS arbitration_id, 5 AS record_class, 8 AS payload_len, count(*) AS count, min(o) AS first_decoded_offset, arg_min(payload, o) AS first_payload
   FROM p GROUP BY path""",
     }

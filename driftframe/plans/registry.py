@@ -208,7 +208,7 @@ QUERIES = {
 def _unpivot_sql() -> str:
     rows = ", ".join(f"({GROUPS.index(d.group)}, '{d.group}', {d.spn}, '{d.column}', {d.shift}, {d.width})" for d in catalog.DEFINITIONS)
     raw = "(word >> shift) & ((1::BIGINT << width) - 1)"  # fields of 64 - shift bits would need an unsigned shift: words are not negative here
-    return f"WITH {W} SELECT l_orderkey, l_linenumber, grp, spn, \"column\", {raw} AS raw FROM w JOIN (VALUES {rows}) AS t(n, grp, spn, \"column\", shift, width) ON n = (l_orderkey + l_linenumber) % {len(GROUPS)}"
+    return f"WITH {W} SELECT l_orderkey, l_linenumber, grp, spn::BIGINT AS spn, \"column\", {raw} AS raw FROM w JOIN (VALUES {rows}) AS t(n, grp, spn, \"column\", shift, width) ON n = (l_orderkey + l_linenumber) % {len(GROUPS)}"
 
 
 def queries() -> dict:
