@@ -102,6 +102,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], most: int = 1024) -> DataFrame:
+    """rows.join(table, keys), for a table of one row for each key with n, how many of rows have it; without n.
+
+    Keys of more than a most-th of all rows, of which there are fewer than most, are looked up by broadcast, so that no
+    task gets all rows of such a key; others are joined by a shuffle. Rows of null keys, and of keys that the table lacks, go.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot, rest = table.where(F.col("n") * most > total), table.where(F.col("n") * most <= total)
+    often = rows.join(F.broadcast(hot), keys)
+    return rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys).unionByName(often).drop("n")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 whose bits all depend on all bits of x (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import bounded, components, dealt, forest, gathered, mix64, partitions, read, saved, trimmed
+from driftframe.llm.shared import bounded, components, dealt, forest, gathered, looked_up, mix64, partitions, read, saved, trimmed
 
 #: Variants that more fingerprints share are indexed again, not compared pairwise.
 CROWD = 256
@@ -122,13 +122,13 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     Other columns are not looked at.
     """
     rows = saved(fingerprints(docs, words), "fingerprints")
-    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     found = saved(components(fingerprint_links(distinct.select("fp"))), "components")
-    named = found.join(distinct.withColumnRenamed("fp", "node"), "node")
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = found.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    own = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(own, "fp").select("doc_id", "fp", "component_id")
+    named = found.join(distinct.select(F.col("fp").alias("node"), "first"), "node")
+    least = saved(named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "least")
+    of = looked_up(found, least, ["component"]).select(F.col("node").alias("fp"), "component_id")
+    own = saved(distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "own")
+    return looked_up(rows, own, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 # Near-duplicates by similarity: a wider fingerprint, in more segments.

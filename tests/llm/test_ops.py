@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from driftframe.llm import collisions, mixing, pieces, pivots, registry, sharding, simhash, substrings, toxicity, urls, warc
+from driftframe.llm import collisions, mixing, pieces, pivots, registry, shared, sharding, simhash, substrings, toxicity, urls, warc
 
 SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, target int"
@@ -57,6 +57,17 @@ def test_simhash(docs, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 3, 1024])
+def test_looked_up(spark, most):
+    rows = [(1, i) for i in range(50)] + [(2, i) for i in range(9)] + [(3, 0), (None, 0), (4, 0)]
+    table = spark.createDataFrame([(1, "a", 50), (2, "b", 9), (3, "c", 1), (5, "d", 0)], "k int, v string, n long")
+    got = shared.looked_up(spark.createDataFrame(rows, "k int, i int"), table, ["k"], most)
+    names = {1: "a", 2: "b", 3: "c"}
+    assert got.columns == ["k", "i", "v"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted((k, i, names[k]) for k, i in rows if k in names)
+    assert shared.looked_up(spark.createDataFrame([], "k int, i int"), table.where("false"), ["k"], most).count() == 0
+
+
 def test_fingerprints_by_hand(spark, docs):
     """Bits voted one by one over shingles cut one by one."""
 
