@@ -555,7 +555,7 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     texts = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("hash")))
     rows = saved(texts.mapInArrow(_wide_fingerprints(words), "doc_id long, node long, f0 long, f1 long, s long, hash long, set binary"), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")
-    classes = saved(rows.groupBy("node", "f0", "f1", "s").agg(least), "classes")
+    classes = saved(rows.groupBy("node", "f0", "f1", "s").agg(least, F.count("*").alias("n")), "classes")
     n = partitions(spark, classes.count() * SEGMENTS * SEGMENT_BITS * _FIRST.itemsize)
     blocks = None if (cut := _hot_blocks(classes)) is None else spark.sparkContext.broadcast(cut)
     pairs, each = _first_candidates(classes.select("f0", "f1", "s"), n, blocks), 1
@@ -574,10 +574,10 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         cells = _cells(again.select("f0", "f1", "s", F.coalesce("component", "node").alias("component"), "block"), each, n, blocks)
         links = _cell_links(cells, sets, similarity).unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         found, more = saved(components(links), "components"), cells.where("cell is null").select("node")
-    named = classes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    firsts = named.groupBy("component").agg(F.min("least").alias("first"))
-    of = saved(named.join(firsts, "component").select("node", F.col("first.doc_id").alias("first"), F.col("first.hash").alias("first_hash")), "firsts")
-    return rows.join(of, "node").select("doc_id", "hash", "first", "first_hash")
+    named = saved(classes.join(found, "node", "left").select("node", "least", F.col("n").alias("texts"), F.coalesce("component", "node").alias("component")), "named")
+    firsts = saved(named.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("n")), "firsts")
+    of = looked_up(named, firsts, ["component"]).select("node", F.col("first.doc_id").alias("first"), F.col("first.hash").alias("first_hash"), F.col("texts").alias("n"))
+    return looked_up(rows, saved(of, "groups"), ["node"]).select("doc_id", "hash", "first", "first_hash")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
