@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm.shared import read, saved
+from driftframe.llm.shared import looked_up, read, saved
 
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -97,8 +97,9 @@ def filtered(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Dat
     rows = rows.withColumn("shape", F.regexp_replace("path", "[0-9]+", "*"))
     # the tree is made of one row for each host and shape, not of pages
     shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("ruled").alias("l"), F.count_if(F.col("ruled") == "block").alias("b"))
-    judged = saved(_tree(saved(shapes, "shapes")), "judged")
-    return rows.join(judged, ["host", "shape"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", "judged").alias("verdict"), "template")
+    shapes = saved(shapes, "shapes")
+    judged = saved(_tree(shapes).join(shapes.select("host", "shape", "n"), ["host", "shape"]), "judged")
+    return looked_up(rows, judged, ["host", "shape"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", "judged").alias("verdict"), "template")
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
