@@ -94,17 +94,21 @@ def _unpivot(spark, d):
     return w.join(F.broadcast(catalog.definitions(spark)), "grp").select("l_orderkey", "l_linenumber", "grp", "spn", "column", raw.alias("raw"))
 
 
+#: Where in a word the code of each text map is read: six bits each.
+ENUM_AT = {name: 6 * i for i, name in enumerate(catalog.ENUMS)}
+
+
 def _enum(spark, d):
     w = words(spark, d)
-    return w.select("l_orderkey", "l_linenumber", catalog.enum_text("bridge", bits.extract("word", 44, 4)).alias("bridge"), catalog.enum_text("limit", bits.extract("word", 0, 1)).alias("forward_limit"), catalog.enum_text("control_mode", bits.extract("word", 40, 6)).alias("mode"))
+    return w.select("l_orderkey", "l_linenumber", *(catalog.enum_text(name, bits.extract("word", at, 6)).alias(name) for name, at in ENUM_AT.items()))
 
 
 def _enum_sql() -> str:
-    def case(name: str, raw: str) -> str:
+    def case(name: str, at: int) -> str:
         texts, default = catalog.ENUMS[name]
-        return f"CASE {raw} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in texts.items()) + f" ELSE '{default}' END"
+        return f"CASE (word >> {at}) & 63 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in texts.items()) + f" ELSE '{default}' END AS \"{name}\""
 
-    return f"WITH {W} SELECT l_orderkey, l_linenumber, {case('bridge', '((word >> 44) & 15)')} AS bridge, {case('limit', '(word & 1)')} AS forward_limit, {case('control_mode', '((word >> 40) & 63)')} AS mode FROM w"
+    return f"WITH {W} SELECT l_orderkey, l_linenumber, {', '.join(case(*x) for x in ENUM_AT.items())} FROM w"
 
 
 def _arrays(spark, d):
@@ -129,7 +133,7 @@ def _fields(spark, d):
 def _updates_union(spark, d):
     u = updates(spark, d)
     a = u.where("signal in ('click', 'view')").select("seq", "timestamp", F.lit("custom").alias("origin"), "value")
-    b = u.where("signal = 'error'").select("seq", "timestamp", F.lit("catalog").alias("origin"), (F.col("value") * 2).alias("value"))
+    b = u.where("signal not in ('click', 'view')").select("seq", "timestamp", F.lit("catalog").alias("origin"), (F.col("value") * 2).alias("value"))
     return a.unionByName(b).orderBy("seq")
 
 
@@ -191,7 +195,7 @@ QUERIES = {
     "enum_text": (_enum, _enum_sql()),
     "leaf_name": (lambda s, d: _read(s, d, "part").select("p_partkey", bits.snake_name(F.concat("p_name", F.lit("Motor"), "p_brand", F.lit("CANcoder"))).alias("name")), r"SELECT p_partkey, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_name || 'Motor' || p_brand || 'CANcoder', '[^A-Za-z0-9]+', '_', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g'), '^_+|_+$', '', 'g'), '_+', '_', 'g')) AS name FROM part"),
     "definition_unpivot": (_unpivot, None),
-    "update_union": (_updates_union, f"WITH {U} SELECT seq, timestamp, 'custom' AS origin, value FROM u WHERE signal IN ('click', 'view') UNION ALL SELECT seq, timestamp, 'catalog', value * 2 FROM u WHERE signal = 'error'"),
+    "update_union": (_updates_union, f"WITH {U} SELECT seq, timestamp, 'custom' AS origin, value FROM u WHERE signal IN ('click', 'view') UNION ALL SELECT seq, timestamp, 'catalog', value * 2 FROM u WHERE signal NOT IN ('click', 'view')"),
     "definition_lookup": (_lookup, f"WITH {U}, n AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {i})' for i, x in enumerate(SIGNALS))}) AS t(signal, raw_id)) SELECT seq, raw_id::BIGINT AS raw_id, value FROM u JOIN n USING (signal)"),
     "raw_ids": (lambda s, d: _read(s, d, "part").select("p_partkey", bits.custom_raw_id(F.col("p_size")).alias("custom_id"), bits.catalog_raw_id(F.col("p_partkey"), F.col("p_size")).alias("catalog_id"), bits.timestamp_raw_id(F.col("p_size")).alias("timestamp_id"), bits.reset_raw_id(F.col("p_size")).alias("reset_id")), "SELECT p_partkey, (p_size::BIGINT << 16) | 65280 AS custom_id, (p_partkey << 16) | (p_size::BIGINT << 8) AS catalog_id, 4261412864 | (p_size::BIGINT << 8) AS timestamp_id, 4261412865 | (p_size::BIGINT << 8) AS reset_id FROM part"),
     "device_split": (lambda s, d: frames(s, d).select("decoded_offset", bits.device_id("arbitration_id").alias("device"), bits.base_id("arbitration_id").alias("base")), f"WITH {FR} SELECT decoded_offset, (arbitration_id & 63)::INTEGER AS device, arbitration_id & ~63 AS base FROM fr"),
