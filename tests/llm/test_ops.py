@@ -353,6 +353,27 @@ def test_topk_stops(spark):
     assert got["visited"].mean() < 0.5 * got["slices"].max() and got["visited"].min() < 0.2 * got["slices"].max()
 
 
+@pytest.mark.parametrize(("every", "sample"), [(6000, 4096), (10, 64)])
+def test_topk_spares_the_driver(spark, every, sample):
+    """Neither the sample of pivots (a share of each partition before) nor queries on their way to slices (broadcast before) go through the driver."""
+    x = np.random.default_rng(8).normal(size=(24000, 16))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(24000), "embedding": x.tolist()})).repartition(12)
+    conf = spark.sparkContext._jsc.sc().conf()  # read for each stage
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        made = pivots.top_k(df, every=every, sample=sample)
+        made.write.format("noop").mode("overwrite").save()
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    got, q = made.where("query_id % 6000 = 0").toPandas().sort_values(["query_id", "rank"]), np.floor(256 * x)
+    assert sorted(set(got["query_id"])) == [0, 6000, 12000, 18000] and made.count() == 5 * 24000 // every
+    for i, g in got.groupby("query_id"):
+        s = q @ q[i]
+        s[i] = -1e18
+        assert g["vec_id"].tolist() == np.lexsort((np.arange(24000), -s))[:5].tolist()
+
+
 def test_toxicity(spark, docs, empty):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = toxicity.scored(d, labels).toPandas()
